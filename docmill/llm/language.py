@@ -1,13 +1,38 @@
-"""Problem 2: languages of documents and of segments (language-code helpers first)."""
+"""Problem 2: the language of each document and of each segment of a mixed one.
+
+Prediction by partial matching: for every language the byte contexts of the sample passages, up to ``ORDER`` bytes
+long, keep symbol counts; a symbol unseen in a context costs an escape and is looked up in the next shorter context
+(method C, symbols of the longer context excluded). The statistics are frozen after training, so the code length of any
+byte after any context is a constant: all context trees are compiled into one automaton (state = longest known
+context) with a table of bits per state, byte class and language, and a batch of sentences is scored by walking the
+automaton for all sentences at once.
+
+Defined results: null, empty and blank texts have no language; so have texts without letters and texts that no language
+codes in under ``MOST_BITS`` a byte (program code, encoded data). Repeated rows count once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pickle
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.session import cut_lineage, table
+
 #: Three-letter forms (ISO 639-2, both variants) of two-letter codes. Fixed values.
 CODES = {"eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "por": "pt", "ita": "it", "nld": "nl", "dut": "nl", "cat": "ca"}
 UNKNOWN = ("", "und", "mul", "zxx", "mis", "unknown", "none", "null")
+ORDER = 3
+MOST_SAMPLES = 5_000  # bound of the labelled rows a model is fitted on
+MOST_BITS = 4.4  # bits a byte above which no language is named
+SURE_BITS = 14.0  # lead in bits over the second language that a sentence needs to count
+PIECE = 400  # bytes scored at once; longer segments are scored in such pieces and summed
 
 
 def language_code(column: Column) -> Column:
@@ -15,3 +40,216 @@ def language_code(column: Column) -> Column:
     base = F.regexp_extract(F.lower(F.trim(column)), r"^([a-z]+)", 1)
     known = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
     return F.when(column.isNull() | base.isin(*UNKNOWN), F.lit(None).cast("string")).otherwise(F.coalesce(known[base], base))
+
+
+def fold(text: str) -> bytes:
+    """Bytes that are scored: lower case, one space for white space, one digit for digits."""
+    return re.sub(r"\d+", "0", re.sub(r"\s+", " ", text.lower())).encode("utf-8", "replace")
+
+
+class Model:
+    """Compiled context trees of all languages."""
+
+    def __init__(self, samples: list[tuple[str, str]]) -> None:
+        self.languages = sorted({lang for lang, _ in samples})
+        texts = defaultdict(list)
+        for lang, text in samples:
+            texts[lang].append(b" " + fold(text) + b" ")
+        seen = sorted({b for group in texts.values() for t in group for b in t})
+        self.classes = np.zeros(256, np.int32)  # class 0: bytes no language has shown
+        for i, b in enumerate(seen):
+            self.classes[b] = i + 1
+        size = self.size = len(seen) + 1
+        counts: list[dict[tuple, dict[int, int]]] = []
+        for lang in self.languages:
+            own: dict[tuple, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+            for text in texts[lang]:
+                x = self.classes[np.frombuffer(text, np.uint8)].tolist()
+                for i, symbol in enumerate(x):
+                    for k in range(min(ORDER, i) + 1):
+                        own[tuple(x[i - k : i])][symbol] += 1
+            counts.append(own)
+        states = sorted({c for own in counts for c in own}, key=lambda c: (len(c), c))
+        at = self.at = {c: i for i, c in enumerate(states)}
+        bits = np.zeros((len(states), size, len(self.languages)), np.float32)
+        for number, own in enumerate(counts):
+            probability = np.zeros((len(states), size), np.float64)
+            for i, context in enumerate(states):
+                lower = probability[at[context[1:]]] if context else np.full(size, 1 / size)
+                table_ = own.get(context)
+                if not table_:
+                    probability[i] = lower
+                    continue
+                symbols, n = np.fromiter(table_.keys(), int), np.fromiter(table_.values(), float)
+                total = n.sum() + len(n)
+                row = lower.copy()
+                row[symbols] = 0
+                rest = row.sum()
+                row *= (len(n) / total) / rest if rest > 0 else 0
+                row[symbols] = n / total
+                probability[i] = row
+            bits[:, :, number] = -np.log2(np.maximum(probability, 1e-9))
+        self.bits = bits.reshape(-1, len(self.languages))
+        following = np.zeros((len(states), size), np.int32)
+        for i, context in enumerate(states):
+            for symbol in range(size):
+                new = (*context, symbol)[-ORDER:]
+                while new not in at:
+                    new = new[1:]
+                following[i, symbol] = at[new]
+        self.following = following.reshape(-1)
+        del self.at
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """Code length in bits of each text in each language."""
+        out = np.zeros((len(texts), len(self.languages)))
+        if not texts:
+            return out
+        owner, pieces = [], []
+        for i, t in enumerate(texts):
+            for a in range(0, len(t), PIECE):
+                owner.append(i)
+                pieces.append(t[a : a + PIECE])
+        if not pieces:
+            return out
+        length = np.array([len(p) for p in pieces])
+        order = np.argsort(-length, kind="stable")
+        data = self.classes[np.frombuffer(b"".join(pieces), np.uint8)]
+        begin = (np.cumsum(length) - length)[order]
+        length = length[order]
+        state = np.full(len(pieces), self.following[self.classes[32]], np.int32)
+        cost = np.zeros((len(pieces), len(self.languages)), np.float32)
+        active = np.searchsorted(-length, -np.arange(length[0]), side="left")
+        for t in range(int(length[0])):
+            k = active[t]
+            arc = state[:k] * self.size + data[begin[:k] + t]
+            cost[:k] += self.bits[arc]
+            state[:k] = self.following[arc]
+        np.add.at(out, np.array(owner)[order], cost)
+        return out
+
+
+def train(samples: DataFrame) -> bytes:
+    """A pickled :class:`Model` from a bounded table of passages (lang, text) of certain language."""
+    rows = samples.filter("lang is not null and text is not null").select(language_code(F.col("lang")).alias("lang"), "text").orderBy("lang", "text").limit(MOST_SAMPLES).collect()
+    return pickle.dumps(Model([(r["lang"], r["text"]) for r in rows]))
+
+
+_OPEN: dict[int, Model] = {}
+
+
+def opened(blob: bytes) -> Model:
+    key = hash(blob)
+    if key not in _OPEN:
+        _OPEN[key] = pickle.loads(blob)
+    return _OPEN[key]
+
+
+JOIN = re.compile(r"(?<=[^\W\d_])[-­‐‑¬][ \t]*\n[ \t]*(?=[^\W\d_])")
+SPLIT = re.compile(r"\n[ \t]*\n\s*|\n(?=[ \t]*[-*•|#>])|\n(?=[^\n]*[\t|])|(?<=[\t|])[^\n]*\n|(?<=[.!?…])[\"”»’)]*\s+")
+WORD = re.compile(r"[^\W\d_]{2,}")
+
+
+def segments(text: str) -> list[str]:
+    """Sentences, list items and table rows of a text, in order; lines wrapped in the middle of a sentence are joined."""
+    return [s for s in SPLIT.split(JOIN.sub("", text)) if s and not s.isspace()]
+
+
+def is_sentence(segment: str) -> bool:
+    return "\t" not in segment and "|" not in segment and len(WORD.findall(segment)) >= 4
+
+
+def decide(model: Model, pages: list[str | None]) -> tuple[np.ndarray, list[list[tuple[str, str, float]]]]:
+    """For each page the bytes in each language, and its runs (segment text, language, confidence) of whole sentences."""
+    texts, owner = [], []
+    for i, page in enumerate(pages):
+        if page and not page.isspace():
+            for s in segments(page):
+                texts.append(s)
+                owner.append(i)
+    folded = [fold(t) for t in texts]
+    bits = model.score(folded)
+    weights = np.zeros((len(pages), len(model.languages)))
+    runs: list[list[list]] = [[] for _ in pages]
+    if not texts:
+        return weights, runs
+    best = bits.argmin(1)
+    low = bits.min(1)
+    second = np.partition(bits, 1, axis=1)[:, 1] if bits.shape[1] > 1 else low + 99
+    length = np.array([max(len(t), 1) for t in folded])
+    trust = 1 / (1 + np.exp2(np.minimum(-(bits - low[:, None]) / 8, 0)).sum(1) - 1)
+    for i, text, b, lead, per_byte, n, c in zip(owner, texts, best, second - low, low / length, length, trust):
+        if per_byte > MOST_BITS or lead < 4:
+            continue
+        weights[i, b] += n
+        if lead < SURE_BITS or not is_sentence(text):
+            continue
+        lang, own = model.languages[b], runs[i]
+        if own and own[-1][1] == lang:
+            own[-1][0] += " " + text
+            own[-1][2] = min(own[-1][2], float(c))
+            own[-1][3] += 1
+        else:
+            own.append([text, lang, float(c), 1])
+    return weights, runs
+
+
+def page_languages(pages: DataFrame, samples: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Per page row: page_key, job_id, ``weights`` (bytes in each language) and ``stretches`` (lang, sentences, confidence).
+
+    One scan without a shuffle; the model is broadcast (bounded by ``MOST_SAMPLES``, some 20 MB).
+    """
+    blob = train(samples)
+    languages = opened(blob).languages
+    sent = pages.sparkSession.sparkContext.broadcast(blob)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(sent.value)
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("sentences", pa.int32()), ("confidence", pa.float64())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                weights, runs = decide(model, part.column(2).to_pylist())
+                stretches = [[{"lang": r[1], "sentences": r[3], "confidence": round(r[2], 4)} for r in own] for own in runs]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weights.tolist(), pa.list_(pa.float64())), pa.array(stretches, kind)], names=["page_key", "job_id", "weights", "stretches"])
+
+    schema = "page_key long, job_id string, weights array<double>, stretches array<struct<lang string, sentences int, confidence double>>"
+    return pages.select("page_key", "job_id", "text").mapInArrow(run, schema), languages
+
+
+def job_languages(scored: DataFrame, languages: list[str]) -> DataFrame:
+    """(job_id, lang, confidence): the language most of a job's text is in and its share of the text."""
+    sums = [F.sum(F.element_at("weights", i + 1)).alias(f"w{i}") for i in range(len(languages))]
+    per_job = scored.filter("job_id is not null").groupBy("job_id").agg(*sums)
+    best = F.greatest(*[F.struct(F.col(f"w{i}").alias("w"), F.lit(lang).alias("lang")) for i, lang in enumerate(languages)])
+    total = sum(F.col(f"w{i}") for i in range(len(languages)))
+    return per_job.select("job_id", best.alias("best"), total.alias("total")).filter("best.w > 0").select("job_id", F.col("best.lang").alias("lang"), F.round(F.col("best.w") / F.col("total"), 4).alias("confidence"))
+
+
+def scored_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    scored, languages = page_languages(table(spark, sf, "page_results"), table(spark, sf, "lang_samples"))
+    once = scored.groupBy("page_key").agg(F.max(F.struct("job_id", "weights", "stretches")).alias("row")).select("page_key", "row.*")
+    return cut_lineage(once), languages
+
+
+def wrong_labels(jobs: DataFrame, found: DataFrame) -> DataFrame:
+    """Jobs of ``found`` (job_id, lang) whose current label is missing or names another language: (id, lang)."""
+    from docmill.llm.tokens import current_rows
+
+    now = current_rows(jobs, F.col("language.code").alias("code"))
+    both = found.join(now, found["job_id"] == now["id"])
+    return both.filter(~F.coalesce(language_code(F.col("code")) == F.col("lang"), F.lit(False))).select("id", "lang")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    scored, languages = scored_pages(spark, sf)
+    jobs = wrong_labels(table(spark, sf, "jobs"), job_languages(scored, languages)).select(F.lit("job").alias("src"), F.col("id").alias("rec_id"), "lang")
+    long = F.filter("stretches", lambda s: s["sentences"] >= 2)
+    mixed = scored.select("page_key", F.array_distinct(F.transform(long, lambda s: s["lang"])).alias("langs")).filter(F.size("langs") >= 2)
+    pages = mixed.select(F.lit("page").alias("src"), F.col("page_key").cast("string").alias("rec_id"), F.explode("langs").alias("lang"))
+    return jobs.unionByName(pages)
+
+
+def p2_job_languages(spark: SparkSession, sf: str) -> DataFrame:
+    scored, languages = scored_pages(spark, sf)
+    return job_languages(scored, languages)
