@@ -1,12 +1,14 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from docmill.llm import language, percentiles, split, tokens
+from docmill.llm import encoding, language, percentiles, split, tokens
 
 QUERIES = {
     "p2_found": language.p2_found,
     "p2_job_languages": language.p2_job_languages,
     "p3_found": split.p3_found,
     "p3_pieces": split.p3_pieces,
+    "p4_found": encoding.p4_found,
+    "p4_repaired": encoding.p4_repaired,
     "p6_token_budget": tokens.p6_token_budget,
     "p7_found": percentiles.p7_found,
     "p7_percentiles": percentiles.p7_percentiles,
