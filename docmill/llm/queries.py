@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from docmill.llm import encoding, language, percentiles, split, tokens
+from docmill.llm import encoding, language, percentiles, scan_noise, split, tokens
 
 QUERIES = {
     "p2_found": language.p2_found,
@@ -9,6 +9,8 @@ QUERIES = {
     "p3_pieces": split.p3_pieces,
     "p4_found": encoding.p4_found,
     "p4_repaired": encoding.p4_repaired,
+    "p5_found": scan_noise.p5_found,
+    "p5_repaired": scan_noise.p5_repaired,
     "p6_token_budget": tokens.p6_token_budget,
     "p7_found": percentiles.p7_found,
     "p7_percentiles": percentiles.p7_percentiles,
