@@ -29,7 +29,6 @@ LEAST_PAIRS = 3  # distinct aligned pairs, from distinct words, that accept a tr
 LEAST_WORDS = 3  # distinct words that accept a pair no transformation explains
 MOST_PAIRS = 20_000  # bound of the aligned pairs brought to the driver, most supported first; beyond it votes are settled
 REFERENCE = re.compile(r"&#(\d{2,6});")
-WORD = re.compile(r"[^ \t\r\n]*(?:[^\x00-\x7f]|&#\d{2,6};)[^ \t\r\n]*")
 NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
 
@@ -64,7 +63,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text and not (text.isascii() and "&#" not in text):
-                    seen.update(w for w in WORD.findall(text) if len(w) <= 60)
+                    seen.update(w for w in references(text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if not w.isascii() and len(w) <= 60)
             if len(seen) > 300_000:
                 yield out()
         yield out()
@@ -77,7 +76,7 @@ def aligned_pairs(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spelled = [references(w) for w in batch.column(0).to_pylist()]
+            spelled = batch.column(0).to_pylist()
             rest = [NON_ASCII.sub("", w) for w in spelled]
             keep = [sum(c.isalpha() for c in r) >= 3 for r in rest]
             rows = [(r, w, n, len(w) - len(r), "�" in w) for r, w, n, k in zip(rest, spelled, batch.column(1).to_pylist(), keep) if k]
