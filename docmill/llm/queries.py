@@ -1,8 +1,10 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from docmill.llm import encoding, language, percentiles, personal, scan_noise, split, tokens
+from docmill.llm import encoding, language, percentiles, personal, scan_noise, spam, split, tokens
 
 QUERIES = {
+    "p10_found": spam.p10_found,
+    "p10_lines": spam.p10_lines,
     "p1_found": personal.p1_found,
     "p1_redacted": personal.p1_redacted,
     "p2_found": language.p2_found,
