@@ -157,14 +157,16 @@ class Repair:
         self.mapping = mapping
         tree = "|".join(map(re.escape, sorted(mapping, key=lambda s: (-len(s), s))))
         self.find = re.compile(tree) if mapping else None
-        self.first = re.compile("[" + "".join(re.escape(c) for c in sorted({m[0] for m in mapping})) + "]") if mapping else None
+        starts = "".join(re.escape(c) for c in sorted({m[0] for m in mapping}))
+        self.first = re.compile(f"[{starts}][^\\x00-\\x7f]") if mapping else None
         # A sequence may have lost its soft hyphen, or its no-break space may have become a space: what is left then
         # follows a small letter, where no upper-case letter or sign belongs.
-        self.lost = []
+        self.lost: dict[str, list] = defaultdict(list)
         for wrong, clean in sorted(mapping.items()):
             if len(wrong) == 2 and wrong[1] in "\xad\xa0" and not wrong[0].islower() and clean.islower():
                 after = "(?=[a-zß-öø-ÿ])" if wrong[1] == "\xad" else r"(?=\s|$)(?: (?= ))?"
-                self.lost.append((re.compile(f"(?<=[a-zß-öø-ÿ’']){re.escape(wrong[0])}{after}"), clean))
+                self.lost[wrong[0]].append((re.compile(f"(?<=[a-zß-öø-ÿ’']){re.escape(wrong[0])}{after}"), clean))
+        self.left = re.compile("[" + "".join(map(re.escape, sorted(self.lost))) + "](?=[\\x00-\\x7f]|$)") if self.lost else None
 
     def __call__(self, text: str | None) -> tuple[bool, bool, str | None]:
         """(affected, recovered, text)."""
@@ -172,17 +174,20 @@ class Repair:
             return False, False, text
         plain = references(text)
         broken = BROKEN.search(plain) is not None
-        if self.first is None or self.first.search(plain) is None:
+        if self.find is None:
             return broken, False, text
         now, changed = plain, False
         for _ in range(3):
+            if self.first.search(now) is None:  # cheap: a sequence is at least two characters beyond ASCII
+                break
             fixed, n = self.find.subn(lambda m: self.mapping[m[0]], now)
             if not n:
                 break
             now, changed = fixed, True
-        for pattern, clean in self.lost:
-            now, n = pattern.subn(clean, now)
-            changed = changed or n > 0
+        for first in sorted(set(self.left.findall(now))) if self.left is not None else ():
+            for pattern, clean in self.lost[first]:
+                now, n = pattern.subn(clean, now)
+                changed = changed or n > 0
         if not changed:
             return broken, False, text
         return True, BROKEN.search(now) is None, now
