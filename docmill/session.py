@@ -20,7 +20,7 @@ DEFAULTS = {
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "docmill") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own session."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
