@@ -89,7 +89,9 @@ class Model:
                 row[symbols] = n / total
                 probability[i] = row
             bits[:, :, number] = -np.log2(np.maximum(probability, 1e-9))
-        self.bits = bits.reshape(-1, len(self.languages))
+        if not states:  # no samples: no language is ever named
+            self.bits, self.following = np.zeros((0, 0), np.float32), np.zeros(0, np.int32)
+            return
         following = np.zeros((len(states), size), np.int32)
         for i, context in enumerate(states):
             for symbol in range(size):
@@ -97,13 +99,14 @@ class Model:
                 while new not in at:
                     new = new[1:]
                 following[i, symbol] = at[new]
+        self.bits = bits.reshape(-1, len(self.languages))
         self.following = following.reshape(-1)
         del self.at
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text in each language."""
         out = np.zeros((len(texts), len(self.languages)))
-        if not texts:
+        if not texts or not self.languages:
             return out
         owner, pieces = [], []
         for i, t in enumerate(texts):
@@ -146,13 +149,16 @@ def opened(blob: bytes) -> Model:
 
 
 JOIN = re.compile(r"(?<=[^\W\d_])[-­‐‑¬][ \t]*\n[ \t]*(?=[^\W\d_])")
-SPLIT = re.compile(r"\n[ \t]*\n\s*|\n(?=[ \t]*[-*•|#>])|\n(?=[^\n]*[\t|])|(?<=[\t|])[^\n]*\n|(?<=[.!?…])[\"”»’)]*\s+")
+SPLIT = re.compile(r"\n[ \t]*\n\s*|\n(?=[ \t]*[-*•|#>])|(?<=[.!?…])[\"”»’)]*\s+")
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 
 def segments(text: str) -> list[str]:
     """Sentences, list items and table rows of a text, in order; lines wrapped in the middle of a sentence are joined."""
-    return [s for s in SPLIT.split(JOIN.sub("", text)) if s and not s.isspace()]
+    text = JOIN.sub("", text)
+    if "\t" in text or "|" in text:  # a table row stands for itself
+        text = "\n".join(f"\n{x}\n" if "\t" in x or "|" in x else x for x in text.split("\n"))
+    return [s for s in SPLIT.split(text) if s and not s.isspace()]
 
 
 def is_sentence(segment: str) -> bool:
@@ -171,7 +177,7 @@ def decide(model: Model, pages: list[str | None]) -> tuple[np.ndarray, list[list
     bits = model.score(folded)
     weights = np.zeros((len(pages), len(model.languages)))
     runs: list[list[list]] = [[] for _ in pages]
-    if not texts:
+    if not texts or not model.languages:
         return weights, runs
     best = bits.argmin(1)
     low = bits.min(1)
@@ -219,9 +225,11 @@ def page_languages(pages: DataFrame, samples: DataFrame) -> tuple[DataFrame, lis
 
 def job_languages(scored: DataFrame, languages: list[str]) -> DataFrame:
     """(job_id, lang, confidence): the language most of a job's text is in and its share of the text."""
+    if not languages:
+        return scored.select("job_id", F.lit("").alias("lang"), F.lit(0.0).alias("confidence")).limit(0)
     sums = [F.sum(F.element_at("weights", i + 1)).alias(f"w{i}") for i in range(len(languages))]
     per_job = scored.filter("job_id is not null").groupBy("job_id").agg(*sums)
-    best = F.greatest(*[F.struct(F.col(f"w{i}").alias("w"), F.lit(lang).alias("lang")) for i, lang in enumerate(languages)])
+    best = F.greatest(F.struct(F.lit(-1.0).alias("w"), F.lit("").alias("lang")), *[F.struct(F.col(f"w{i}").alias("w"), F.lit(lang).alias("lang")) for i, lang in enumerate(languages)])
     total = sum(F.col(f"w{i}") for i in range(len(languages)))
     return per_job.select("job_id", best.alias("best"), total.alias("total")).filter("best.w > 0").select("job_id", F.col("best.lang").alias("lang"), F.round(F.col("best.w") / F.col("total"), 4).alias("confidence"))
 
