@@ -5,7 +5,9 @@ Nothing here reads data eagerly; ``cut_lineage`` is the only action and it write
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,23 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "docmil
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_docmill_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():  # not itself inside an archive that was shipped already
+        folder = tempfile.mkdtemp(prefix="docmill-py-")  # only read by the driver's file server
+        copy = Path(folder, "code", package.name)
+        shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(str(Path(folder, package.name)), "zip", copy.parent))
+    context._docmill_shipped = True
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
