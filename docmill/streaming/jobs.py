@@ -38,6 +38,8 @@ def track_jobs(events: DataFrame, most_attempts: int = 3, stale_s: int = STALE)
 
     A job that is being processed and stays silent for ``stale_s`` is requeued, or failed at its last attempt. Events of
     a job in one batch are applied in order of id, so replays give the same state; final states take no more events.
+    Timers fire in batches without data; a run that is to end with the data (``availableNow``) turns those off by
+    ``spark.sql.streaming.noDataMicroBatches.enabled``.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
