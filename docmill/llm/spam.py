@@ -56,7 +56,8 @@ def decoded(body: str, encoding: str, content_type: str) -> str:
     try:
         if encoding == "base64":
             bare = re.sub(r"[^A-Za-z0-9+/]", "", body)
-            raw = base64.b64decode(bare[: len(bare) // 4 * 4])
+            bare = bare[:-1] if len(bare) % 4 == 1 else bare  # cut off inside a byte
+            raw = base64.b64decode(bare + "=" * (-len(bare) % 4))
         else:
             raw = quopri.decodestring(body.encode("utf-8", "replace"))
         return raw.decode(named[1] if named else "utf-8", "replace")
@@ -112,7 +113,7 @@ class Labeller:
         for p in passages:
             seen.update({w for w in WORD.findall(p.lower())})
         least = max(2, len(passages) // 60)
-        self.function = {w for w, n in seen.items() if n >= least and len(w) <= 5}
+        self.function = {w for w, n in seen.items() if n >= least and len(w) <= 4}
         lines, labels = self._samples(passages, random.Random(seed))
         x = [self.features(message) for message in lines]
         ones = np.ones((len(STATES), len(x[0][0][1])))
@@ -134,15 +135,16 @@ class Labeller:
     def _samples(self, passages: list[str], r: random.Random) -> tuple[list[str], list[list[int]]]:
         """Composed messages and the label of each line."""
         words = [w for p in passages for w in WORD.findall(p)] or ["word"]
+        words = [w for w in words if w.lower() not in self.function] or words  # lists are made of content words
         messages, labels = [], []
         for _ in range(600):
-            few = r.sample(words, min(len(words), r.choice((3, 5, 9, 14))))
+            few = r.sample(words, min(len(words), r.choice((3, 5, 9, 14, 40))))
             text, own = [], []
             prose = lambda: r.choice(passages)
             pick = lambda n: [r.choice(few) for _ in range(n)]
             host = lambda: f"http{r.choice(('', 's'))}://{r.choice(words).lower()}.{r.choice(('com', 'org', 'test', 'net'))}/{r.choice(words).lower()}{r.choice(('', '/x', '?id=7'))}"
             style = r.randrange(10)
-            for _ in range(r.randint(1, 3)) if style else range(r.randint(2, 8)):
+            for _ in range(r.randint(2, 8) if style == 0 else r.choice((0, 0, 1, 2, 3)) if style < 7 else r.randint(1, 3)):
                 text.append(prose())
                 own.append(0)
                 if style == 0 and r.random() < 0.4:  # a link below a paragraph of a newsletter
@@ -154,7 +156,8 @@ class Labeller:
                     own.append(1)
                 elif style in (3, 4):
                     mark = r.choice([", ", " ", " | ", "; ", " #"])
-                    text.append(r.choice(["#", "", ""]) + mark.join(pick(r.randint(6, 60))))
+                    some = pick(r.randint(6, 60)) if mark != " #" else [r.choice(r.choice((few, words))).lower() + r.choice(["", r.choice(words).lower()]) for _ in range(r.randint(6, 60))]
+                    text.append("#" * (mark == " #") + mark.join(some))
                     own.append(2)
                 elif style in (5, 6):
                     text.append(r.choice([f"{'; '.join(pick(3))}; XL; {r.randint(9, 999)} €", f"{' '.join(pick(r.randint(2, 5)))} {r.randint(2000, 2030)}", f"{r.randint(2000, 2030)} {' '.join(pick(3))}", f"{r.choice(few)} {r.choice(few).upper()} {r.choice(words).capitalize()}", f"{' > '.join(pick(4))}", f"{r.choice(few)} - ${r.randint(1, 99)}.99"]))
