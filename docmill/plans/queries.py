@@ -56,7 +56,9 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: every message with its statistics and its chunks at 512 tokens with 64 of overlap. No shuffle."""
     docs = table(spark, sf, "documents").filter("text is not null")
     chunks = chunking.chunk_markdown(as_udf(from_lines)("text"), F.lit(512), F.lit(64))
-    return docs.select("doc_id", *documents.text_statistics(F.col("text")), F.inline(chunks)).drop("text", "heading_path", "kinds")
+    each = docs.select("doc_id", *documents.text_statistics(F.col("text")), F.explode(chunks).alias("c"))
+    columns = ("chunk_index", "page_start", "page_end", "char_start", "char_end", "overlap_tokens")
+    return each.select(*[c for c in each.columns if c != "c"], F.col("c.token_count").alias("chunk_tokens"), *[f"c.{c}" for c in columns])
 
 
 # ------------------------------------------------------------------ text
