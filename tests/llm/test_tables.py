@@ -121,3 +121,40 @@ def test_scan_noise_end_to_end(spark):
     assert {(100, "header"), (101, "header"), (100, "page_no"), (101, "page_no"), (100, "hyphen"), (102, "misread")} == found
     fixed = {r["page_key"]: r["text"] for r in scan_noise.repair(pages).collect()}
     assert fixed[100] == f"{body}. the warehouse." and "HARB" not in fixed[101] and re.search("keeps", fixed[102])
+
+
+@pytest.mark.parametrize("few", [64, 0])  # all pairs of a job; blocks of a longer job
+def test_running_lines_meet_every_near_spelling(spark, monkeypatch, few):
+    """Spellings that share neither half, beside a frequent line that shares a half with one of them, and by brute force."""
+    import random
+
+    from docmill.llm import scan_noise
+
+    monkeypatch.setattr(scan_noise, "FEW_SPELLINGS", few)
+    r = random.Random(5)
+    lines = [(1, "a", "The pelican of more papers today"), (2, "a", "Tbe pelicans of more papers to day"), (3, "b", "Toswerimi & Co. B0D-112A"), (4, "b", "Toswenmi & Co. B0D-112A"), (5, "c", "Quarry hall"), (6, "c", "Quarry hatl"), (7, "d", "Harbour rules"), (7, "d", "Harbour rule")]
+    for i in range(60):
+        word = "".join(r.choice("ad") for _ in range(r.randint(5, 20)))
+        lines.append((100 + i, "e", word))
+    rows = [("line", page, job, scan_noise.edges(f"{text}\n\nbody.")[0][0][1], text, None, None) for page, job, text in lines]
+    found = {(x["page_key"], x["line"]) for x in scan_noise.running_lines(spark.createDataFrame(rows, scan_noise.ROW)).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def near(a, b):
+        return distance(a, b) <= max(1, int(0.12 * max(len(a), len(b))))
+
+    truth = {(p, t) for p, job, t in lines if any(p != q and job == other and near(scan_noise.edges(f"{t}\n\nb.")[0][0][1], scan_noise.edges(f"{u}\n\nb.")[0][0][1]) for q, other, u in lines)}
+    assert found == truth and {p for p, _ in found} >= {1, 2, 3, 4, 5, 6} and 7 not in {p for p, _ in found}
+
+
+def test_first_lines_of_prose_do_not_run(spark):
+    from docmill.llm import scan_noise
+
+    assert scan_noise.edges("There were 26 boxes on the second shelf, and the\nnew clerk counted them again before the ferry\nleft.")[0] == []
