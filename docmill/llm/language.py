@@ -8,15 +8,17 @@ context) with a table of bits per state, byte class and language, and a batch of
 automaton for all sentences at once.
 
 Defined results: null, empty and blank texts have no language; so have texts without letters and texts that no language
-codes in under ``MOST_BITS`` a byte (program code, encoded data). Repeated rows count once.
+codes in under ``MOST_BITS`` a byte (program code, encoded data); where a row must stand for them, it is ``und`` with
+confidence 0. A job answered from an earlier one has that one's language. Repeated rows count once.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from docmill.session import cut_lineage, table
 
 #: Three-letter forms (ISO 639-2, both variants) of two-letter codes. Fixed values.
 CODES = {"eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "por": "pt", "ita": "it", "nld": "nl", "dut": "nl", "cat": "ca"}
+NO_LANGUAGE = "und"  # the code of no language
 UNKNOWN = ("", "und", "mul", "zxx", "mis", "unknown", "none", "null")
 ORDER = 3
 MOST_SAMPLES = 5_000  # bound of the labelled rows a model is fitted on
@@ -153,20 +156,59 @@ SPLIT = re.compile(r"\n[ \t]*\n\s*|\n(?=[ \t]*[-*•|#>])|(?<=[.!?…])[\"”»
 WORD = re.compile(r"[^\W\d_]{2,}")
 
 
+def prepared(text: str) -> tuple[str, Callable[[int], int]]:
+    """The text to split, and the way back from a position in it to one in ``text``.
+
+    Lines wrapped in the middle of a sentence are joined; a table row stands for itself.
+    """
+    cuts, joined = [(0, 0)], text
+    for m in JOIN.finditer(text):
+        cuts.append((m.start() - cuts[-1][1], cuts[-1][1] + len(m[0])))
+    if len(cuts) > 1:
+        joined = JOIN.sub("", text)
+    added, now = [(0, 0)], joined
+    if "\t" in joined or "|" in joined:
+        lines, at = joined.split("\n"), 0
+        for i, x in enumerate(lines):
+            if "\t" in x or "|" in x:
+                before = added[-1][1]
+                added += [(at + 1, before - 1), (at + len(x) + 2, before - 2)]
+                lines[i] = f"\n{x}\n"
+            at += len(lines[i]) + 1
+        now = "\n".join(lines)
+
+    def back(p: int) -> int:
+        for shifts in (added, cuts):
+            if len(shifts) > 1:
+                p += shifts[bisect_right(shifts, (p, 1 << 60)) - 1][1]
+        return p
+
+    return now, back
+
+
 def segments(text: str) -> list[str]:
     """Sentences, list items and table rows of a text, in order; lines wrapped in the middle of a sentence are joined."""
-    text = JOIN.sub("", text)
-    if "\t" in text or "|" in text:  # a table row stands for itself
-        text = "\n".join(f"\n{x}\n" if "\t" in x or "|" in x else x for x in text.split("\n"))
-    return [s for s in SPLIT.split(text) if s and not s.isspace()]
+    return [s for s in SPLIT.split(prepared(text)[0]) if s and not s.isspace()]
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Where the segments of a text stand in it, without white space around them."""
+    now, back = prepared(text)
+    out, at = [], 0
+    for end, following in [*(m.span() for m in SPLIT.finditer(now)), (len(now), len(now))]:
+        s = now[at:end]
+        if s and not s.isspace():
+            out.append((back(at + len(s) - len(s.lstrip())), back(at + len(s.rstrip()) - 1) + 1))
+        at = following
+    return out
 
 
 def is_sentence(segment: str) -> bool:
     return "\t" not in segment and "|" not in segment and len(WORD.findall(segment)) >= 4
 
 
-def decide(model: Model, pages: list[str | None]) -> tuple[np.ndarray, list[list[tuple[str, str, float]]]]:
-    """For each page the bytes in each language, and its runs (segment text, language, confidence) of whole sentences."""
+def scored_segments(model: Model, pages: list[str | None]) -> tuple[list[str], list[int], list[bytes], np.ndarray]:
+    """The segments of all pages, their pages, what is scored of them and their code lengths."""
     texts, owner = [], []
     for i, page in enumerate(pages):
         if page and not page.isspace():
@@ -174,7 +216,20 @@ def decide(model: Model, pages: list[str | None]) -> tuple[np.ndarray, list[list
                 texts.append(s)
                 owner.append(i)
     folded = [fold(t) for t in texts]
-    bits = model.score(folded)
+    return texts, owner, folded, model.score(folded)
+
+
+def trust_of(bits: np.ndarray) -> np.ndarray:
+    """Confidence in the language of the least code length, a row each."""
+    return 1 / (1 + np.exp2(np.minimum(-(bits - bits.min(1)[:, None]) / 8, 0)).sum(1) - 1)
+
+
+def decide(model: Model, pages: list[str | None], scored: tuple | None = None) -> tuple[np.ndarray, list[list[list]]]:
+    """For each page the bytes in each language, and its runs of whole sentences.
+
+    A run is (segment text, language, confidence, sentences, first and last segment of the batch).
+    """
+    texts, owner, folded, bits = scored_segments(model, pages) if scored is None else scored
     weights = np.zeros((len(pages), len(model.languages)))
     runs: list[list[list]] = [[] for _ in pages]
     if not texts or not model.languages:
@@ -183,8 +238,8 @@ def decide(model: Model, pages: list[str | None]) -> tuple[np.ndarray, list[list
     low = bits.min(1)
     second = np.partition(bits, 1, axis=1)[:, 1] if bits.shape[1] > 1 else low + 99
     length = np.array([max(len(t), 1) for t in folded])
-    trust = 1 / (1 + np.exp2(np.minimum(-(bits - low[:, None]) / 8, 0)).sum(1) - 1)
-    for i, text, b, lead, per_byte, n, c in zip(owner, texts, best, second - low, low / length, length, trust):
+    trust = trust_of(bits)
+    for at, (i, text, b, lead, per_byte, n, c) in enumerate(zip(owner, texts, best, second - low, low / length, length, trust)):
         if per_byte > MOST_BITS or lead < 4:
             continue
         weights[i, b] += n
@@ -195,11 +250,45 @@ def decide(model: Model, pages: list[str | None]) -> tuple[np.ndarray, list[list
             own[-1][0] += " " + text
             own[-1][2] = min(own[-1][2], float(c))
             own[-1][3] += 1
+            own[-1][5] = at
         else:
-            own.append([text, lang, float(c), 1])
+            own.append([text, lang, float(c), 1, at, at])
     return weights, runs
 
 
+def stretches(model: Model, pages: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+    """For each page the stretches (char_start, char_end, language, confidence) that all its segments belong to, in order.
+
+    Sure sentences make the stretches. What stands between two of them, too short to be sure of, is divided where both
+    languages together code it in the fewest bits. A page without a sure sentence is one stretch.
+    """
+    scored = _, owner, folded, bits = scored_segments(model, pages)
+    weights, runs = decide(model, pages, scored)
+    number = {lang: i for i, lang in enumerate(model.languages)}
+    first = np.searchsorted(owner, np.arange(len(pages) + 1))
+    out: list[list[tuple[int, int, str, float]]] = []
+    for i, page in enumerate(pages):
+        lo, hi, own = first[i], first[i + 1], runs[i]
+        if lo == hi:
+            out.append([])
+            continue
+        if own:
+            cuts = [lo]
+            for (_, a, _, _, _, end), (_, b, _, _, start, _) in zip(own, own[1:]):
+                between = bits[end + 1 : start]
+                left, right = np.cumsum(between[:, number[a]]), np.cumsum(between[::-1, number[b]])[::-1]
+                cuts.append(end + 1 + int((np.append(0, left) + np.append(right, 0)).argmin()))
+            named = [(r[1], round(r[2], 4)) for r in own]
+        else:
+            cuts, named = [lo], [(NO_LANGUAGE, 0.0)]
+            if weights[i].any():  # as much as its segments say together
+                whole = bits[lo:hi].sum(0, keepdims=True)
+                named = [(model.languages[int(whole.argmin())], round(float(trust_of(whole)[0]), 4))]
+        at = places(page)
+        out.append([(at[a - lo][0], at[b - 1 - lo][1], *name) for a, b, name in zip(cuts, [*cuts[1:], hi], named)])
+    return out
+
+
 def page_languages(pages: DataFrame, samples: DataFrame) -> tuple[DataFrame, list[str]]:
     """Per page row: page_key, job_id, ``weights`` (bytes in each language) and ``stretches`` (lang, sentences, confidence).
 
@@ -240,6 +329,36 @@ def scored_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     return cut_lineage(once), languages
 
 
+def every_job_language(jobs: DataFrame, found: DataFrame) -> DataFrame:
+    """(job_id, lang, confidence) of every job: its own of ``found``, else that of the job it was answered from, else none."""
+    from docmill.llm.tokens import current_rows
+
+    now = current_rows(jobs, "cached_from_job_id").select(F.col("id").alias("now_id"), "cached_from_job_id")
+    own = now.join(found, now["now_id"] == found["job_id"], "full").select(F.coalesce("now_id", "job_id").alias("job_id"), "lang", "confidence", "cached_from_job_id")
+    earlier = found.select(F.col("job_id").alias("earlier_id"), F.col("lang").alias("earlier_lang"), F.col("confidence").alias("earlier_confidence"))
+    both = own.join(earlier, own["lang"].isNull() & (own["cached_from_job_id"] == earlier["earlier_id"]), "left")
+    return both.select("job_id", F.coalesce("lang", "earlier_lang", F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("confidence", "earlier_confidence", F.lit(0.0)).alias("confidence"))
+
+
+def page_stretches(pages: DataFrame, samples: DataFrame) -> DataFrame:
+    """(page_key, char_start, char_end, lang, confidence): the stretches of every page, with offsets in its text."""
+    sent = pages.sparkSession.sparkContext.broadcast(train(samples))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(sent.value)
+        kind = pa.list_(pa.struct([("char_start", pa.int32()), ("char_end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
+        names = [f.name for f in kind.value_type]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [[dict(zip(names, s)) for s in own] for own in stretches(model, part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], names=["page_key", "stretches"])
+
+    scored = pages.select("page_key", "text").mapInArrow(run, "page_key long, stretches array<struct<char_start int, char_end int, lang string, confidence double>>")
+    once = scored.groupBy("page_key").agg(F.max("stretches").alias("stretches"))
+    return once.select("page_key", F.inline("stretches"))
+
+
 def wrong_labels(jobs: DataFrame, found: DataFrame) -> DataFrame:
     """Jobs of ``found`` (job_id, lang) whose current label is missing or names another language: (id, lang)."""
     from docmill.llm.tokens import current_rows
@@ -260,4 +379,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_job_languages(spark: SparkSession, sf: str) -> DataFrame:
     scored, languages = scored_pages(spark, sf)
-    return job_languages(scored, languages)
+    return every_job_language(table(spark, sf, "jobs"), job_languages(scored, languages))
+
+
+def p2_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return page_stretches(table(spark, sf, "page_results"), table(spark, sf, "lang_samples"))

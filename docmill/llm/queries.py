@@ -9,6 +9,7 @@ QUERIES = {
     "p1_redacted": personal.p1_redacted,
     "p2_found": language.p2_found,
     "p2_job_languages": language.p2_job_languages,
+    "p2_segments": language.p2_segments,
     "p3_found": split.p3_found,
     "p3_pieces": split.p3_pieces,
     "p4_found": encoding.p4_found,

@@ -138,6 +138,23 @@ def test_languages_and_mixed_pages():
     assert language.decide(language.Model([]), ["some text"])[1] == [[]]
 
 
+def test_stretches_stand_in_the_text():
+    model = language.Model([("en", t) for t in EN] + [("es", t) for t in ES])
+    page = "\n" + EN[0][:13] + "-\n" + EN[0][13:] + " " + EN[1] + "\n| 12 | key |\n\tab\n" + ES[0] + "\n" + ES[1] + "  \n"
+    (first, second), blank, code, short = language.stretches(model, [page, " \n", "12 34", "the ferry clerk"])
+    assert (first[0], first[2], second[2]) == (1, "en", "es") and page[second[0] : second[1]].endswith(ES[0] + "\n" + ES[1])
+    assert page[first[0] : first[1]].startswith(EN[0][:13] + "-\n") and EN[1] in page[first[0] : first[1]] and not page[first[1] : second[0]].strip()
+    assert 0 < first[3] <= 1 and 0 < second[3] <= 1 and blank == [] and code == [(0, 5, "und", 0.0)] and short[0][:3] == (0, 15, "en")
+    assert language.stretches(language.Model([]), ["some text", None]) == [[(0, 9, "und", 0.0)], []]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab-. \n\t|\"é", max_size=60))
+def test_places_hold_the_segments(text):
+    at = language.places(text)
+    assert [language.JOIN.sub("", text[a:b]) for a, b in at] == [s.strip() for s in language.segments(text)]
+
+
 def test_code_lengths_are_probabilities():
     model = language.Model([("en", t) for t in EN])
     total = np.exp2(-model.bits.reshape(-1, model.size, 1).astype(float)).sum(1)

@@ -158,3 +158,19 @@ def test_first_lines_of_prose_do_not_run(spark):
     from docmill.llm import scan_noise
 
     assert scan_noise.edges("There were 26 boxes on the second shelf, and the\nnew clerk counted them again before the ferry\nleft.")[0] == []
+
+
+def test_every_job_has_a_language(spark, small):
+    from docmill.llm import language
+
+    found = spark.createDataFrame([("a", "en", 0.9), ("x", "fr", 0.8)], "job_id string, lang string, confidence double")
+    rows = [("a", None, 1), ("b", "a", 1), ("b", "x", 0), ("c", None, 1), ("d", "c", 1), (None, "a", 1)]
+    jobs = spark.createDataFrame(rows, "id string, cached_from_job_id string, loaded_at int")
+    every = sorted(map(tuple, language.every_job_language(jobs, found).collect()))
+    assert every == [("a", "en", 0.9), ("b", "en", 0.9), ("c", "und", 0.0), ("d", "und", 0.0), ("x", "fr", 0.8)]
+    pages = {r["page_key"]: r["text"] for r in spark.read.parquet(f"{small}/page_results.parquet").collect()}
+    segments = QUERIES["p2_segments"](spark, small).collect()
+    assert {r["page_key"] for r in segments} == {k for k, t in pages.items() if t and not t.isspace()}
+    assert all(0 <= r["char_start"] < r["char_end"] <= len(pages[r["page_key"]]) and 0 <= r["confidence"] <= 1 for r in segments)
+    jobs = {r["id"] for r in spark.read.parquet(f"{small}/jobs.parquet").collect()}
+    assert {r["job_id"] for r in QUERIES["p2_job_languages"](spark, small).collect()} >= jobs
