@@ -4,10 +4,11 @@ Words of the corpus are grouped by what is left of them without non-ASCII charac
 spelling is the clean near-twin; the ASCII characters of a longer spelling align one to one with the twin's, so each run
 of non-ASCII characters between them pairs with the run it stands for. Pairs seen in several words are votes for
 transformations ("UTF-8 read as ..."); accepted transformations, extended to all characters they can garble, and the
-pairs no transformation explains form the mapping that is then applied to every record.
+pairs no transformation explains form the mapping that is then applied to every record. A word with replacement
+characters (U+FFFD) is restored where exactly one clean word of the corpus is the same in all other characters.
 
-Defined results: null, empty and blank texts are not affected; replacement characters (U+FFFD) and C1 controls mark
-a text as affected but not recoverable; numeric character references count only where they spell a garbled sequence.
+Defined results: null, empty and blank texts are not affected; replacement characters without such a word and C1 controls
+mark a text as affected but not recoverable; numeric character references count only where they spell a garbled sequence.
 Repeated rows are one page.
 """
 
@@ -15,13 +16,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.session import table
+from docmill.session import cut_lineage, table
 
 #: Encodings that UTF-8 bytes are commonly read in.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8_r", "iso8859_15")
@@ -30,6 +31,7 @@ LEAST_WORDS = 3  # distinct words that accept a pair no transformation explains
 MOST_PAIRS = 20_000  # bound of the aligned pairs brought to the driver, most supported first; beyond it votes are settled
 REFERENCE = re.compile(r"&#(\d{2,6});")
 NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+WORD = re.compile(r"[^ \n\t\r]+")
 BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
@@ -194,7 +196,11 @@ class Repair:
 
 
 def learned_mapping(pages: DataFrame) -> dict[str, str]:
-    pairs = aligned_pairs(word_counts(pages)).orderBy(F.desc("words"), "garbled", "clean").limit(MOST_PAIRS).collect()
+    return mapping_of(word_counts(pages))
+
+
+def mapping_of(words: DataFrame) -> dict[str, str]:
+    pairs = aligned_pairs(words).orderBy(F.desc("words"), "garbled", "clean").limit(MOST_PAIRS).collect()
     return learn([(r["garbled"], r["clean"], r["words"]) for r in pairs])
 
 
@@ -217,8 +223,67 @@ def repair_pages(pages: DataFrame, key: str = "page_key", mapping: dict[str, str
     return pages.select(key, "text").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, recovered boolean, text string")
 
 
+def only_twins(broken: DataFrame, words: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """(word, clean): the words with U+FFFD of ``broken`` that exactly one clean word of ``words`` can stand for."""
+
+    def keyed(kept: Callable[[str], bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [w for w in batch.column(0).to_pylist() if kept(w)]
+                rest = [NON_ASCII.sub("", w) for w in own]
+                rows = [(r, len(w), w) for r, w in zip(rest, own) if any(c.isalpha() for c in r)]
+                columns = list(zip(*rows)) if rows else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))], names=["rest", "size", "word"])
+
+        return run
+
+    repair = Repair(mapping)
+    clean = words.select("word").mapInArrow(keyed(lambda w: BROKEN.search(w) is None and not repair(w)[0]), "rest string, size int, word string").withColumnRenamed("word", "clean")
+    lost = broken.select("word").distinct().mapInArrow(keyed(lambda w: True), "rest string, size int, word string")
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            fit = [(w, c) for w, c in pairs if all(a == b or (a == "\ufffd" and ord(b) > 127) for a, b in zip(w, c))]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in fit], pa.string()) for i in range(2)], names=["word", "clean"])
+
+    fit = lost.join(clean, ["rest", "size"]).select("word", "clean").mapInArrow(fitting, "word string, clean string")
+    return fit.groupBy("word").agg(F.min("clean").alias("clean"), F.max("clean").alias("other")).filter("clean = other").drop("other")
+
+
+def restore(pages: DataFrame, key: str = "page_key") -> DataFrame:
+    """:func:`repair_pages`, with the words restored that U+FFFD broke and one clean word can stand for."""
+    words = cut_lineage(word_counts(pages))
+    mapping = mapping_of(words)
+    repaired = cut_lineage(repair_pages(pages, key, mapping))
+    kind = pages.schema[key].dataType.simpleString()
+
+    def lost_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, w) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in {w for w in WORD.findall(text) if "\ufffd" in w}]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], batch.schema.field(0).type), pa.array([w for _, w in rows], pa.string())], names=[key, "word"])
+
+    broken = repaired.filter(F.col("text").contains("\ufffd")).select(key, "text").mapInArrow(lost_words, f"{key} {kind}, word string").distinct()
+    twins = only_twins(broken, words, mapping)
+    own = broken.join(twins, "word").groupBy(key).agg(F.collect_list(F.struct("word", "clean")).alias("twins"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            recovered, texts = [], []
+            for good, text, pairs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if pairs:
+                    right = {p["word"]: p["clean"] for p in pairs}
+                    text = WORD.sub(lambda m: right.get(m[0], m[0]), text)
+                    good = BROKEN.search(text) is None
+                recovered.append(good)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(recovered, pa.bool_()), pa.array(texts, pa.string())], names=[key, "recovered", "text"])
+
+    return repaired.join(own, key, "left").select(key, "recovered", "text", "twins").mapInArrow(put, f"{key} {kind}, recovered boolean, text string")
+
+
 def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return repair_pages(table(spark, sf, "page_results")).dropDuplicates(["page_key"])
+    return restore(table(spark, sf, "page_results")).dropDuplicates(["page_key"])
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

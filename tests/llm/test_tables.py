@@ -174,3 +174,15 @@ def test_every_job_has_a_language(spark, small):
     assert all(0 <= r["char_start"] < r["char_end"] <= len(pages[r["page_key"]]) and 0 <= r["confidence"] <= 1 for r in segments)
     jobs = {r["id"] for r in spark.read.parquet(f"{small}/jobs.parquet").collect()}
     assert {r["job_id"] for r in QUERIES["p2_job_languages"](spark, small).collect()} >= jobs
+
+
+def test_broken_words_are_restored_from_their_only_twin(spark):
+    clean = ["la petición de más papel, más tarde", "mês a mês", "größer"]
+    wrong = ["la petici\ufffdn\tgr\ufffd\ufffder", "petici\ufffdn m\ufffds", "\ufffd und xyz\ufffd", "gr\ufffd\ufffder " + encoding.read_wrong("reunión", "cp1252")]
+    words = ["reunión", "próximo", "señales", "también", "estación", "corazón"]
+    teach = [" ".join(words), encoding.read_wrong(" ".join(words), "cp1252")]
+    pages = spark.createDataFrame(list(enumerate([*clean, *wrong, *teach, None])), "page_key long, text string")
+    found = {r["page_key"]: (r["recovered"], r["text"]) for r in encoding.restore(pages).collect()}
+    assert found[3] == (True, "la petición\tgrößer") and found[6] == (True, "größer reunión")
+    assert found[4] == (False, "petición m\ufffds") and found[5] == (False, wrong[2])
+    assert sorted(found) == [3, 4, 5, 6, 8]
