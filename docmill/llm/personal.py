@@ -36,8 +36,8 @@ CAP = rf"(?:[dDlL][’'])?[{U}](?:[{U}{L}0-9@!†°ﬁﬂ|]{{0,30}}[{U}{L}]|(?=[
 PARTICLE = r"(?:do|da|de|del|della|di|dos|das|von|van|der|den|zu|le|la|du|des|e|y)"
 TITLE = r"(?:M(?:r|rs|s|me|lle)\.?|Miss|Dr\.?(?:\s?[ªa]\.?)?|Dra\.?|Prof\.?(?:\s?ssa)?|Sir|Herrn?|Frau|Monsieur|Madame|Maître|Sr\.?ª?|Sra\.?|Srta\.?|D\.ª?|Don|Doña|Dona|Sig\.?(?:ra|na)?|Signor[ae]?|Dott\.?(?:ssa)?|Ing\.?|Avv\.?|Eng\.?ª?|M\.)"
 #: The sign of a mail address in its written forms, what stands before it and what follows.
-SIGN = re.compile(r"[@(\[{<](?:(?<=@)|(?:[aA][tT]|a|arroba|chiocciola)[)\]}>])")
-SPOKEN = re.compile(r"(?<=\w)[ \n](?:at|AT|arroba|chiocciola)[ \n](?=[\w-]+[ ](?:dot|punto|DOT)[ ])")
+SIGN = re.compile(r"[@(\[{<](?:(?<=@)|(?i:at|a|arroba|chiocciola)[)\]}>])")
+SPOKEN = re.compile(r"(?<=\w)[ \n](?:at|arroba|chiocciola)[ \n](?=[\w-]+(?:\.\w|[ \n](?:dot|punto)[ \n]))", re.I)
 LOCAL = re.compile(r"\w[\w.+\-]*[ \n]?$")
 DOMAIN = re.compile(r"[ \n]?[\w-]+(?:(?:\.|[ ]\.[ ]?|[ \n]?(?:\((?:dot|punto|point|punkt|ponto)\)|\[(?:dot|punto|point|punkt|ponto)\]|\{dot\}|[ \n](?:dot|punto)[ \n])[ \n]?)[\w-]+)+", re.I)
 NUMBER = re.compile(r"(?<![\w@/+.,-])(?:\(?\+|\()?(?:[A-Z]{1,2}[ \-]?)?\d(?:(?:[ \n.\-/\u00a0]|[ ]?\(|\)[ .\-/]?|[ ][-/][ ])?\d){4,17}(?:-?[A-Z]{1,2}(?![\w])|[ ][A-Z](?![\w])|[ ]\d[ ]?[A-Z]{2}\d)?(?![\w@])")
@@ -52,6 +52,7 @@ GAP = r"(?:[ ]{1,2}|[ ]?\n[ ]?)"
 ZIP = r"(?:\d{4}-\d{3}|\d{5}|[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2})"
 PLACE = rf"[{U}][{L}{U}]+(?:-(?:(?:le|la|les|de|del|am|an|der|sur|do|da)-)?[{U}][{L}{U}]+)?(?:{GAP}[{U}][{L}]+)?"
 TAIL = rf"(?:,?{GAP}(?:Apt\.?|Unit|Flat|Floor|\d\.?[ºª°]|piso|esc\.|int\.|scala|Apto\.?)[ ]?[\w.º]*)?(?:,?{GAP}{ZIP})?(?:,?{GAP}{PLACE})?(?:,?{GAP}{ZIP})?"
+HOUSE_SIGNS = ("n.", "m.", "um", "úm", "no", ".o", " o", "ro")  # what a house number may follow without a space: n. núm. num nº no número
 HOUSE = r"\d{1,4}(?:/?[A-Za-z](?!\w)|[ ][A-Da-d](?!\w))?(?!\w)"
 # Two patterns, one that starts with a digit and one that starts with a capital: what they can start with is rare.
 NUMBERED = re.compile(
@@ -186,10 +187,7 @@ FEATURES = {"email": email_features, "phone": number_features, "id_number": numb
 def candidates(text: str, words: Words) -> list[tuple[int, int, str]]:
     """Overlapping spans as (start, end, type); a number run is proposed as a phone and as an identity number."""
     out = []
-    signs = list(SIGN.finditer(text))
-    if " dot " in text or " punto " in text or " DOT " in text:
-        signs += SPOKEN.finditer(text)
-    for m in signs:
+    for m in (*SIGN.finditer(text), *SPOKEN.finditer(text)):
         before, after = LOCAL.search(text, max(0, m.start() - 65), m.start()), DOMAIN.match(text, m.end())
         if before is not None and after is not None:
             out.append((before.start(), after.end(), "email"))
@@ -204,13 +202,14 @@ def candidates(text: str, words: Words) -> list[tuple[int, int, str]]:
                 last_end = n.end()
         if before.isupper() or text[j : j + 1].isupper() or (j - i >= 5 and text[i - 2 : i - 1].isupper()):
             out += [(n.start(), n.end(), "id_number") for n in CODE.finditer(text, max(0, i - 9), min(len(text), j + 12)) if n.start() <= i < n.end()]
-        for k in (i, *(i + w.end() for w in re.finditer(r"\n[ ]*(?=\d)", m[0]) if "\n" in m[0])):
-            before = text[k - 1] if k else "\n"
-            n = NUMBERED.match(text, k) if before in " \n\t|(>:*-•" else None
+        inside = r"[ \n]{1,2}(?=\d)" if before.isalnum() else r"\n[ ]*(?=\d)"  # "Mayor2 12": the first digits belong to a word
+        for k in (i, *(i + w.end() for w in re.finditer(inside, m[0]) if "\n" in m[0] or before.isalnum())):
+            left = text[k - 1] if k else "\n"
+            n = NUMBERED.match(text, k) if left in " \n\t|(>:*-•" else None
             if n is not None:
                 unit = UNIT.search(text, max(0, k - 20), k)
                 out.append((unit.start() if unit else k, n.end(), "address"))
-            elif before in " \n" and k > 1 and (text[k - 2].isalpha() or text[k - 2] in ",.º°ª"):
+            elif k > 1 and (left in " \nº°" or text[k - 2 : k] in HOUSE_SIGNS):
                 out += [(n.start(), n.end(), "address") for n in NAMED.finditer(text, max(0, k - 48), min(len(text), k + 70)) if n.start() < k < n.end() and not (n.start() and text[n.start() - 1].isalnum())]
     for m in names(text):
         a, b = m.start(), m.end()
