@@ -16,6 +16,7 @@ QUERIES = {
     "p4_repaired": encoding.p4_repaired,
     "p5_found": scan_noise.p5_found,
     "p5_repaired": scan_noise.p5_repaired,
+    "p6_document_tokens": tokens.p6_document_tokens,
     "p6_token_budget": tokens.p6_token_budget,
     "p7_found": percentiles.p7_found,
     "p7_percentiles": percentiles.p7_percentiles,

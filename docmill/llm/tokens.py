@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from docmill.llm.bpe import CUTS, PIECES, Memo, encoder
 from docmill.llm.language import language_code
+from docmill.llm.ranking import collected, most_frequent
 from docmill.session import cut_lineage, table
 
 SLICE = 512  # texts in memory at once in a Python worker
@@ -109,7 +110,7 @@ def piece_counts(items: DataFrame) -> DataFrame:
             seen.clear()
             return batch
 
-        for _, texts in slices(batches, "item", "text"):
+        for texts in (part.to_pylist() for batch in batches for part in (batch.column(0).slice(at, SLICE) for at in range(0, batch.num_rows, SLICE))):
             words: Counter[str] = Counter()
             for text in texts:
                 if text:
@@ -140,26 +141,28 @@ def piece_counts(items: DataFrame) -> DataFrame:
                 tokens.append(count[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int32()), batch.column(1)], names=["piece", "n_tokens", "n"])
 
-    found = items.select("item", "text").mapInArrow(pieces, "piece string, n long")
+    found = items.select("text").mapInArrow(pieces, "piece string, n long")
     distinct = found.groupBy("piece").agg(F.sum("n").alias("n"))
     trie = distinct.repartition(F.substring("piece", 1, 4)).sortWithinPartitions("piece")
     return trie.mapInArrow(walk, "piece string, n_tokens int, n long")
 
 
-def item_tokens(items: DataFrame, hot_pieces: int = 100_000) -> DataFrame:
-    """(item, n_tokens) of ``items`` (item long, text): terminal counts joined back to the items.
+def text_tokens(items: DataFrame, hot_pieces: int = 100_000) -> DataFrame:
+    """``items`` with ``n_tokens`` in place of ``text``: terminal counts joined back to the items, one row each.
 
     ``hot_pieces`` bounds the broadcast: the counts of that many most frequent pieces (about 2 MB, whatever the corpus)
-    are added in the scan; every other piece is joined by a shuffle on the piece, pre-aggregated per item. Both give
-    exact counts; no item is dropped.
+    are added in the scan; every other piece is joined by a shuffle on the piece. Both give exact counts; no item is
+    dropped. The rows of the scan are numbered and written once, and everything after reads what was written, so another
+    split of the input, or an executor that is lost, can't change an item's number.
     """
     spark = items.sparkSession
-    counts = cut_lineage(piece_counts(items))
-    top = counts.orderBy(F.desc("n"), "piece").limit(hot_pieces).select("piece", "n_tokens").toPandas()
-    hot = spark.sparkContext.broadcast(dict(zip(top["piece"], top["n_tokens"].astype(int))))
+    counts = cut_lineage(piece_counts(items.select("text")))
+    hot = {r["piece"]: r["n_tokens"] for r in most_frequent(counts, "n", hot_pieces).select("piece", "n_tokens").collect()}
+    sent = spark.sparkContext.broadcast(hot)
+    kept = [f for f in items.schema.fields if f.name != "text"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
+        known = sent.value
 
         def of(text: str) -> tuple[int, tuple[str, ...]]:
             sum_, cold = 0, []
@@ -172,28 +175,34 @@ def item_tokens(items: DataFrame, hot_pieces: int = 100_000) -> DataFrame:
             return sum_, tuple(cold)
 
         memo = Memo(lambda w: of(" " + w), 200_000)
-        for keys, texts in slices(batches, "item", "text"):
-            items_, pieces, ns = [], [], []
-            for k, text in zip(keys.to_pylist(), texts):
-                total, cold = 0, Counter()
-                if text:
-                    parts = CUTS.split(text)
-                    total, head = of(parts[0])
-                    cold.update(head)
-                    for n, rest in map(memo.__getitem__, parts[1:]):
-                        total += n
-                        if rest:
-                            cold.update(rest)
-                items_ += [k] * (1 + len(cold))
-                pieces += [None, *cold]
-                ns += [total, *cold.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(items_, pa.int64()), pa.array(pieces, pa.string()), pa.array(ns, pa.int64())], names=["item", "piece", "n"])
-
-    rows = items.select("item", "text").mapInArrow(look_up, "item long, piece string, n long")
-    rows = cut_lineage(rows)
-    cold = rows.filter("piece is not null").select("item", "piece", F.col("n").alias("times")).join(counts.select("piece", "n_tokens"), "piece")
-    both = rows.filter("piece is null").select("item", "n").unionByName(cold.select("item", (F.col("times") * F.col("n_tokens")).alias("n")))
-    return both.groupBy("item").agg(F.sum("n").alias("n_tokens"))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                totals, ends, pieces, times = [], [0], [], []
+                for text in part.column(part.num_columns - 1).to_pylist():
+                    total, cold = 0, Counter()
+                    if text:
+                        words = CUTS.split(text)
+                        total, head = of(words[0])
+                        cold.update(head)
+                        for n, rest in map(memo.__getitem__, words[1:]):
+                            total += n
+                            if rest:
+                                cold.update(rest)
+                    totals.append(total)
+                    pieces += cold
+                    times += cold.values()
+                    ends.append(len(pieces))
+                cold_ = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(times, pa.int64())], names=["piece", "times"])
+                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cold_)], names=[*(f.name for f in kept), "hot_", "cold_"])
+
+    schema = T.StructType([*kept, T.StructField("hot_", T.LongType()), T.StructField("cold_", T.ArrayType(T.StructType([T.StructField("piece", T.StringType()), T.StructField("times", T.LongType())])))])
+    rows = cut_lineage(items.select(*[f"`{f.name}`" for f in kept], "text").mapInArrow(look_up, schema).withColumn("item_", F.monotonically_increasing_id()))
+    cold = rows.select("item_", F.inline("cold_")).join(counts.select("piece", "n_tokens"), "piece")
+    more = cold.groupBy("item_").agg(F.sum(F.col("times") * F.col("n_tokens")).alias("more_"))
+    both = rows.drop("cold_").join(more, "item_", "left")
+    return both.select(*[f"`{f.name}`" for f in kept], (F.col("hot_") + F.coalesce("more_", F.lit(0))).alias("n_tokens"))
 
 
 def label(column: Column) -> Column:
@@ -207,20 +216,18 @@ def token_budget(documents: DataFrame, jobs: DataFrame, uploads: DataFrame, page
     current, succeeded jobs that weren't answered from an earlier job; each page once; the stored ``token_count`` isn't
     used. Nulls in a slice column form a slice of their own; labels are two-letter codes, ``und`` where none is usable.
     """
-    docs = documents.withColumn("item", F.monotonically_increasing_id() * 2)
-    page = pages.withColumn("item", F.monotonically_increasing_id() * 2 + 1)
-    texts = docs.select("item", "text").unionByName(page.select("item", "text"))
-    tokens = cut_lineage(item_tokens(texts))
-    per_doc = docs.select("item", "source", label(F.col("lang")).alias("lang"), "domain").join(tokens, "item")
-    doc_part = per_doc.groupBy("source", "lang", "domain").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
-    per_job = page.select("item", "page_key", "job_id").join(tokens, "item").groupBy("job_id", "page_key").agg(F.max("n_tokens").alias("n_tokens"))
+    none = F.lit(None).cast("string")
+    docs = documents.select(F.lit("document").alias("scope"), "source", label(F.col("lang")).alias("lang"), "domain", none.alias("job_id"), F.lit(None).cast("long").alias("page_key"), "text")
+    page = pages.select(F.lit("job").alias("scope"), none.alias("source"), none.alias("lang"), none.alias("domain"), "job_id", "page_key", "text")
+    tokens = cut_lineage(text_tokens(docs.unionByName(page)))
+    doc_part = tokens.filter("scope = 'document'").groupBy("source", "lang", "domain").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
+    per_job = tokens.filter("scope = 'job'").groupBy("job_id", "page_key").agg(F.max("n_tokens").alias("n_tokens"))
     per_job = per_job.groupBy("job_id").agg(F.sum("n_tokens").alias("n_tokens"))
     now = current_rows(jobs, "status", "cached_from_job_id", "document_id", F.col("language.code").alias("code"))
     now = now.filter("status = 'SUCCEEDED' and cached_from_job_id is null")
     kinds = uploads.select(F.col("id").alias("document_id"), "kind").groupBy("document_id").agg(F.max("kind").alias("kind"))
     job_part = now.join(per_job, now["id"] == per_job["job_id"]).join(kinds, "document_id", "left")
     job_part = job_part.groupBy(label(F.col("code")).alias("lang"), "kind").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
-    none = F.lit(None).cast("string")
     first = doc_part.select(F.lit("document").alias("scope"), "source", "lang", "domain", none.alias("kind"), "n_items", "n_tokens")
     return first.unionByName(job_part.select(F.lit("job").alias("scope"), none.alias("source"), "lang", none.alias("domain"), "kind", "n_items", "n_tokens"))
 
@@ -360,11 +367,16 @@ def p6_token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return token_budget(table(spark, sf, "documents"), table(spark, sf, "jobs"), table(spark, sf, "uploads"), table(spark, sf, "page_results"))
 
 
+def p6_document_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, n_tokens) of every message."""
+    return text_tokens(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_ids(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     tokens = cut_lineage(count_tokens(table(spark, sf, "documents"), "doc_id", "text"))
-    sizes = {r["container_name"]: r["capacity_tokens"] for r in table(spark, sf, "pack_sizes").collect()}  # three rows
+    sizes = {r["container_name"]: r["capacity_tokens"] for r in collected(table(spark, sf, "pack_sizes"), 1_000, "container sizes")}
     return pack(tokens, {k: v for k, v in sizes.items() if k and v and v > 0})
