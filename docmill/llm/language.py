@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm.ranking import drawn
 from docmill.session import cut_lineage, table
 
 #: Three-letter forms (ISO 639-2, both variants) of two-letter codes. Fixed values.
@@ -32,10 +33,12 @@ CODES = {"eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "deu": "de", "ger":
 NO_LANGUAGE = "und"  # the code of no language
 UNKNOWN = ("", "und", "mul", "zxx", "mis", "unknown", "none", "null")
 ORDER = 3
-MOST_SAMPLES = 5_000  # bound of the labelled rows a model is fitted on
+SAMPLES_A_LANGUAGE = 1_000  # bound of the labelled rows of each language that a model is fitted on, drawn by hash
+TABLE_BYTES = 256 << 20  # bound of the broadcast bit table; beyond it the rarest long contexts are left out
 MOST_BITS = 4.4  # bits a byte above which no language is named
 SURE_BITS = 14.0  # lead in bits over the second language that a sentence needs to count
-PIECE = 400  # bytes scored at once; longer segments are scored in such pieces and summed
+PIECE = 400  # bytes scored at once; a longer segment is cut into such pieces that carry its state on
+MASK = 60  # languages in one mask of bits
 
 
 def language_code(column: Column) -> Column:
@@ -72,7 +75,7 @@ class Model:
                     for k in range(min(ORDER, i) + 1):
                         own[tuple(x[i - k : i])][symbol] += 1
             counts.append(own)
-        states = sorted({c for own in counts for c in own}, key=lambda c: (len(c), c))
+        states = sorted(self._contexts(counts), key=lambda c: (len(c), c))
         at = self.at = {c: i for i, c in enumerate(states)}
         bits = np.zeros((len(states), size, len(self.languages)), np.float32)
         for number, own in enumerate(counts):
@@ -106,15 +109,31 @@ class Model:
         self.following = following.reshape(-1)
         del self.at
 
+    def _contexts(self, counts: list[dict[tuple, dict[int, int]]]) -> set[tuple]:
+        """The contexts that are kept: all of them while their table fits in ``TABLE_BYTES``, else the longest ones only
+        from a count on that is doubled until it fits. What a context starts or ends with is kept with it."""
+        total: dict[tuple, int] = defaultdict(int)
+        for own in counts:
+            for context, symbols in own.items():
+                total[context] += sum(symbols.values())
+        most = TABLE_BYTES // (4 * self.size * max(len(counts), 1))
+        for order in range(ORDER, 0, -1):
+            least = 2
+            while len(total) > most and any(len(c) == order for c in total):
+                total = defaultdict(int, {c: n for c, n in total.items() if len(c) < order or n >= least})
+                least *= 2
+        return set(total)
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text in each language."""
         out = np.zeros((len(texts), len(self.languages)))
         if not texts or not self.languages:
             return out
-        owner, pieces = [], []
+        owner, pieces, starts = [], [], []
         for i, t in enumerate(texts):
             for a in range(0, len(t), PIECE):
                 owner.append(i)
+                starts.append(a)
                 pieces.append(t[a : a + PIECE])
         if not pieces:
             return out
@@ -123,7 +142,12 @@ class Model:
         data = self.classes[np.frombuffer(b"".join(pieces), np.uint8)]
         begin = (np.cumsum(length) - length)[order]
         length = length[order]
-        state = np.full(len(pieces), self.following[self.classes[32]], np.int32)
+        # the state is the longest known context of the last ORDER bytes: a later piece takes it from those before it
+        whole = np.array([texts[i][max(0, a - ORDER) : a] == b"" for i, a in zip(owner, starts)])[order]
+        state = np.where(whole, self.following[self.classes[32]], 0).astype(np.int32)
+        for k in range(ORDER, 0, -1):
+            later = np.flatnonzero(~whole)
+            state[later] = self.following[state[later] * self.size + data[begin[later] - k]]
         cost = np.zeros((len(pieces), len(self.languages)), np.float32)
         active = np.searchsorted(-length, -np.arange(length[0]), side="left")
         for t in range(int(length[0])):
@@ -136,8 +160,9 @@ class Model:
 
 
 def train(samples: DataFrame) -> bytes:
-    """A pickled :class:`Model` from a bounded table of passages (lang, text) of certain language."""
-    rows = samples.filter("lang is not null and text is not null").select(language_code(F.col("lang")).alias("lang"), "text").orderBy("lang", "text").limit(MOST_SAMPLES).collect()
+    """A pickled :class:`Model` from passages (lang, text) of certain language, at most ``SAMPLES_A_LANGUAGE`` of each."""
+    known = samples.filter("lang is not null and text is not null").select(language_code(F.col("lang")).alias("lang"), "text").filter("lang is not null")
+    rows = drawn(known, "lang", "text", SAMPLES_A_LANGUAGE).select("lang", "text").orderBy("lang", "text").collect()
     return pickle.dumps(Model([(r["lang"], r["text"]) for r in rows]))
 
 
@@ -290,42 +315,56 @@ def stretches(model: Model, pages: list[str | None]) -> list[list[tuple[int, int
 
 
 def page_languages(pages: DataFrame, samples: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Per page row: page_key, job_id, ``weights`` (bytes in each language) and ``stretches`` (lang, sentences, confidence).
+    """Per page, once: page_key, job_id, bytes in each language (w0, w1, ...) and, as bits of m0, m1, ..., the languages
+    with at least two consecutive sentences.
 
-    One scan without a shuffle; the model is broadcast (bounded by ``MOST_SAMPLES``, some 20 MB).
+    One scan; the model is broadcast (bounded by ``TABLE_BYTES``). What is shuffled to tell repeated rows are numbers.
     """
     blob = train(samples)
     languages = opened(blob).languages
     sent = pages.sparkSession.sparkContext.broadcast(blob)
+    masks = max(1, -(-len(languages) // MASK))
+    names = [*(f"w{i}" for i in range(len(languages))), *(f"m{i}" for i in range(masks))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(sent.value)
-        kind = pa.list_(pa.struct([("lang", pa.string()), ("sentences", pa.int32()), ("confidence", pa.float64())]))
+        number = {lang: i for i, lang in enumerate(model.languages)}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 weights, runs = decide(model, part.column(2).to_pylist())
-                stretches = [[{"lang": r[1], "sentences": r[3], "confidence": round(r[2], 4)} for r in own] for own in runs]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weights.tolist(), pa.list_(pa.float64())), pa.array(stretches, kind)], names=["page_key", "job_id", "weights", "stretches"])
+                bits = np.zeros((part.num_rows, masks), np.int64)
+                for i, own in enumerate(runs):
+                    for r in own:
+                        if r[3] >= 2:
+                            bits[i, number[r[1]] // MASK] |= 1 << number[r[1]] % MASK
+                columns = [*weights.astype(np.int64).T, *bits.T]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c) for c in columns)], names=["page_key", "job_id", *names])
 
-    schema = "page_key long, job_id string, weights array<double>, stretches array<struct<lang string, sentences int, confidence double>>"
-    return pages.select("page_key", "job_id", "text").mapInArrow(run, schema), languages
+    scored = pages.select("page_key", "job_id", "text").mapInArrow(run, "page_key long, job_id string, " + ", ".join(f"{n} long" for n in names))
+    return scored.groupBy("page_key", "job_id").agg(*[F.max(n).alias(n) for n in names]), languages
 
 
 def job_languages(scored: DataFrame, languages: list[str]) -> DataFrame:
     """(job_id, lang, confidence): the language most of a job's text is in and its share of the text."""
     if not languages:
         return scored.select("job_id", F.lit("").alias("lang"), F.lit(0.0).alias("confidence")).limit(0)
-    sums = [F.sum(F.element_at("weights", i + 1)).alias(f"w{i}") for i in range(len(languages))]
+    sums = [F.sum(f"w{i}").alias(f"w{i}") for i in range(len(languages))]
     per_job = scored.filter("job_id is not null").groupBy("job_id").agg(*sums)
-    best = F.greatest(F.struct(F.lit(-1.0).alias("w"), F.lit("").alias("lang")), *[F.struct(F.col(f"w{i}").alias("w"), F.lit(lang).alias("lang")) for i, lang in enumerate(languages)])
+    best = F.greatest(F.struct(F.lit(-1).cast("long").alias("w"), F.lit("").alias("lang")), *[F.struct(F.col(f"w{i}").alias("w"), F.lit(lang).alias("lang")) for i, lang in enumerate(languages)])
     total = sum(F.col(f"w{i}") for i in range(len(languages)))
     return per_job.select("job_id", best.alias("best"), total.alias("total")).filter("best.w > 0").select("job_id", F.col("best.lang").alias("lang"), F.round(F.col("best.w") / F.col("total"), 4).alias("confidence"))
 
 
+def mixed_pages(scored: DataFrame, languages: list[str]) -> DataFrame:
+    """(page_key, lang) of pages with at least two consecutive sentences in each of two or more languages."""
+    held = F.array(*[F.when(F.col(f"m{i // MASK}").bitwiseAND(F.lit(1 << i % MASK)) != 0, F.lit(lang)) for i, lang in enumerate(languages)])
+    named = scored.select("page_key", (F.filter(held, lambda x: x.isNotNull()) if languages else F.array().cast("array<string>")).alias("langs"))
+    return named.filter(F.size("langs") >= 2).select("page_key", F.explode("langs").alias("lang"))
+
+
 def scored_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    scored, languages = page_languages(table(spark, sf, "page_results"), table(spark, sf, "lang_samples"))
-    once = scored.groupBy("page_key").agg(F.max(F.struct("job_id", "weights", "stretches")).alias("row")).select("page_key", "row.*")
+    once, languages = page_languages(table(spark, sf, "page_results"), table(spark, sf, "lang_samples"))
     return cut_lineage(once), languages
 
 
@@ -371,10 +410,8 @@ def wrong_labels(jobs: DataFrame, found: DataFrame) -> DataFrame:
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     scored, languages = scored_pages(spark, sf)
     jobs = wrong_labels(table(spark, sf, "jobs"), job_languages(scored, languages)).select(F.lit("job").alias("src"), F.col("id").alias("rec_id"), "lang")
-    long = F.filter("stretches", lambda s: s["sentences"] >= 2)
-    mixed = scored.select("page_key", F.array_distinct(F.transform(long, lambda s: s["lang"])).alias("langs")).filter(F.size("langs") >= 2)
-    pages = mixed.select(F.lit("page").alias("src"), F.col("page_key").cast("string").alias("rec_id"), F.explode("langs").alias("lang"))
-    return jobs.unionByName(pages)
+    pages = mixed_pages(scored, languages).select(F.lit("page").alias("src"), F.col("page_key").cast("string").alias("rec_id"), "lang")
+    return jobs.unionByName(pages).distinct()
 
 
 def p2_job_languages(spark: SparkSession, sf: str) -> DataFrame:
