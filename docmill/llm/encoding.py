@@ -15,6 +15,7 @@ Repeated rows are one page.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -22,22 +23,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm.ranking import collected
 from docmill.session import cut_lineage, table
 
 #: Encodings that UTF-8 bytes are commonly read in.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8_r", "iso8859_15")
 LEAST_PAIRS = 3  # distinct aligned pairs, from distinct words, that accept a transformation
 LEAST_WORDS = 3  # distinct words that accept a pair no transformation explains
-MOST_PAIRS = 20_000  # bound of the aligned pairs brought to the driver, most supported first; beyond it votes are settled
+MOST_RUNS = 200_000  # such pairs that the mapping may hold; more are an error, none is dropped silently
 REFERENCE = re.compile(r"&#(\d{2,6});")
 NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 WORD = re.compile(r"[^ \n\t\r]+")
 BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
+def referred(m: re.Match) -> str:
+    """The character of a numeric reference, where it is above ASCII."""
+    return chr(int(m[1])) if 127 < int(m[1]) < 0x110000 and not 0xD800 <= int(m[1]) < 0xE000 else m[0]
+
+
 def references(text: str) -> str:
     """Numeric references of characters above ASCII resolved."""
-    return REFERENCE.sub(lambda m: chr(int(m[1])) if 127 < int(m[1]) < 0x110000 and not 0xD800 <= int(m[1]) < 0xE000 else m[0], text) if "&#" in text else text
+    return REFERENCE.sub(referred, text) if "&#" in text else text
+
+
+class Trace:
+    """A text that substitutions rewrite, and the way back from a span of it to the span of the original."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.passes: list[list[tuple[int, int, int, int]]] = []  # start and end of each change, after it and before it
+
+    def sub(self, pattern: re.Pattern, put: Callable[[re.Match], str]) -> bool:
+        out, at, size, held = [], 0, 0, []
+        for m in pattern.finditer(self.text):
+            new = put(m)
+            out += [self.text[at : m.start()], new]
+            size += m.start() - at
+            held.append((size, size + len(new), m.start(), m.end()))
+            size += len(new)
+            at = m.end()
+        if held:
+            self.text = "".join([*out, self.text[at:]])
+            self.passes.append(held)
+        return bool(held)
+
+    def back(self, a: int, b: int) -> tuple[int, int]:
+        for held in reversed(self.passes):
+            i, j = bisect_right(held, (a, 1 << 60)) - 1, bisect_left(held, (b,)) - 1
+            if i >= 0:
+                a = held[i][2] if a < held[i][1] else a + held[i][3] - held[i][1]
+            if j >= 0:
+                b = held[j][3] if b <= held[j][1] else b + held[j][3] - held[j][1]
+        return a, b
 
 
 def read_wrong(text: str, encoding: str) -> str:
@@ -65,7 +103,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text and not (text.isascii() and "&#" not in text):
-                    seen.update(w for w in references(text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if not w.isascii() and len(w) <= 60)
+                    seen.update(w for w in references(text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if not w.isascii())
             if len(seen) > 300_000:
                 yield out()
         yield out()
@@ -95,7 +133,7 @@ def aligned_pairs(words: DataFrame) -> DataFrame:
             out = set()
             for word, clean in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for g, c in zip(runs(word), runs(clean)):
-                    if g != c and len(g) > len(c) and c and len(c) <= 3 and len(g) <= 24:
+                    if g != c and len(g) > len(c) and c:
                         out.add((g, c, clean))
             columns = list(zip(*out)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["garbled", "clean", "word"])
@@ -116,37 +154,48 @@ def runs(word: str) -> list[str]:
     return [*out, "".join(held)]
 
 
-def learn(pairs: list[tuple[str, str, int]]) -> dict[str, str]:
-    """The mapping garbled -> clean from aligned pairs."""
-    votes: dict[str, set] = defaultdict(set)
-    explained, alphabet = set(), set()
-    for garbled, clean, words in pairs:
-        for encoding in READ_AS:
-            once = read_wrong(clean, encoding)
-            if garbled == once or garbled == read_wrong(once, encoding):
-                votes[encoding].add((garbled, clean))
-                explained.add((garbled, clean))
-                alphabet.update(clean)
-    accepted = [e for e in READ_AS if len(votes[e]) >= LEAST_PAIRS]
+def explaining(garbled: str, clean: str) -> list[str]:
+    """The encodings in which the bytes of ``clean``, read once or twice, give ``garbled``."""
+    out = []
+    for encoding in READ_AS:
+        once = read_wrong(clean, encoding)
+        if garbled == once or garbled == read_wrong(once, encoding):
+            out.append(encoding)
+    return out
+
+
+def settle(votes: dict[str, int], alphabet: set[str], others: list[tuple[str, str, int, int]]) -> dict[str, str]:
+    """The mapping garbled -> clean from the votes of each encoding, the characters that explained pairs stand for, and
+    the best reading of each run that no encoding explains, as (garbled, clean, words, words of all its readings)."""
+    accepted = [e for e in READ_AS if votes.get(e, 0) >= LEAST_PAIRS]
     # A transformation garbles every character: beyond those the twins showed, Latin letters and general punctuation.
-    alphabet.update(chr(c) for c in [*range(0xA0, 0x180), *range(0x2010, 0x2040), 0x20AC, 0x2122, 0x2020, 0x1E9E, 0xFB01, 0xFB02])
+    alphabet = alphabet | {chr(c) for c in [*range(0xA0, 0x180), *range(0x2010, 0x2040), 0x20AC, 0x2122, 0x2020, 0x1E9E, 0xFB01, 0xFB02]}
     mapping: dict[str, str] = {}
     for encoding in accepted:
         for c in sorted(alphabet):
             wrong = read_wrong(c, encoding)
             if len(wrong) > 1 and NON_ASCII.fullmatch(wrong):
                 mapping.setdefault(wrong, c)
-    best: dict[str, list] = defaultdict(list)
-    for garbled, clean, words in pairs:
-        best[garbled].append((words, clean))
-    for garbled, own in best.items():
-        words, clean = max(own)
-        total = sum(n for n, _ in own)
-        if garbled not in mapping and (garbled, clean) not in explained and words >= LEAST_WORDS and words >= 0.9 * total and len(garbled) > 1 and looks_garbled(garbled):
+    for garbled, clean, words, total in sorted(others):
+        if garbled not in mapping and words >= LEAST_WORDS and words >= 0.9 * total and len(garbled) > 1 and looks_garbled(garbled):
             mapping[garbled] = clean
     return mapping
 
 
+def learn(pairs: list[tuple[str, str, int]]) -> dict[str, str]:
+    """:func:`settle` for pairs that are at hand."""
+    votes: Counter[str] = Counter()
+    alphabet: set[str] = set()
+    best: dict[str, list] = defaultdict(list)
+    for garbled, clean, words in pairs:
+        found = explaining(garbled, clean)
+        votes.update(found)
+        alphabet.update(clean if found else "")
+        best[garbled].append((words, clean, not found))
+    others = [(g, max(own)[1], max(own)[0], sum(n for n, *_ in own)) for g, own in best.items() if max(own)[2]]
+    return settle(votes, alphabet, others)
+
+
 def looks_garbled(run: str) -> bool:
     """Letters or signs that never stand together in a word: an upper-case letter or a sign inside the run."""
     return any(c.isupper() or not c.isalpha() for c in run[:-1]) and any(0x80 <= ord(c) for c in run)
@@ -195,13 +244,40 @@ class Repair:
         return True, BROKEN.search(now) is None, now
 
 
+    def traced(self, text: str) -> Trace:
+        """The same repair with the way back to the positions of ``text``."""
+        out = Trace(text)
+        out.sub(REFERENCE, referred)
+        for _ in range(3):
+            if self.find is None or self.first.search(out.text) is None or not out.sub(self.find, lambda m: self.mapping[m[0]]):
+                break
+        for first in sorted(set(self.left.findall(out.text))) if self.left is not None else ():
+            for pattern, clean in self.lost[first]:
+                out.sub(pattern, lambda m, clean=clean: clean)
+        return out
+
+
 def learned_mapping(pages: DataFrame) -> dict[str, str]:
     return mapping_of(word_counts(pages))
 
 
 def mapping_of(words: DataFrame) -> dict[str, str]:
-    pairs = aligned_pairs(words).orderBy(F.desc("words"), "garbled", "clean").limit(MOST_PAIRS).collect()
-    return learn([(r["garbled"], r["clean"], r["words"]) for r in pairs])
+    """The mapping that all aligned pairs of the corpus vote for. Votes are counted where the pairs are; the driver gets
+    one count an encoding, the distinct characters, and the runs no encoding explains that enough words support."""
+    pairs = aligned_pairs(words)
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by = [explaining(g, c) for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(by, pa.list_(pa.string()))], names=["garbled", "clean", "words", "by"])
+
+    judged = cut_lineage(pairs.mapInArrow(explain, "garbled string, clean string, words long, by array<string>"))
+    votes = {r["e"]: r["count"] for r in judged.select(F.explode("by").alias("e")).groupBy("e").count().collect()}
+    characters = judged.filter(F.size("by") > 0).select(F.explode(F.split("clean", "")).alias("c")).distinct().collect()
+    best = judged.groupBy("garbled").agg(F.max(F.struct("words", "clean", (F.size("by") == 0).alias("other"))).alias("b"), F.sum("words").alias("total"))
+    others = best.filter((F.col("b.words") >= LEAST_WORDS) & F.col("b.other") & (F.length("garbled") > 1) & (F.col("b.words") >= 0.9 * F.col("total")))
+    rows = collected(others.select("garbled", "b.clean", "b.words", "total"), MOST_RUNS, "garbled runs that no encoding explains")
+    return settle(votes, {r["c"] for r in characters if r["c"]}, [tuple(r) for r in rows])
 
 
 def repair_pages(pages: DataFrame, key: str = "page_key", mapping: dict[str, str] | None = None) -> DataFrame:
