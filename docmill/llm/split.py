@@ -7,8 +7,8 @@ plus overlap fits, so what remains uncut in the end are the strongest boundaries
 
 Defined results: null and empty texts are size 0 and never cut; a missing job, null options or null sizes in them give
 512 and 64; sizes under 32 count as 32; an overlap above half the size is cut to half; a null kind is prose. Every
-piece starts with the last ``4 * overlap`` characters before its cut, and joining the pieces without them gives the
-text again. Repeated rows are one item.
+piece starts with what stands before its cut, at most ``4 * overlap`` characters from the start of a word on, and
+joining the pieces without it gives the text again. Repeated rows are one item.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from docmill.llm.tokens import current_rows
 from docmill.session import table
 
 SIZE, OVERLAP, LEAST_SIZE = 512, 64, 32
+BUCKETS = 1 << 19  # of hashed job ids, 2 MB in a scan task
 #: Boundary strengths: blank line, heading or fence, line end, sentence end, clause end, space, inside a word.
 BLANK, LINE, SENTENCE, CLAUSE, SPACE, INSIDE = 6, 5, 4, 3, 2, 1
 PROSE = re.compile(r"\n\s*\n|(?<=[.!?…])[\"”»’)]*\s+|(?<=[.!?…])(?=\n)")
@@ -94,7 +95,15 @@ def cut(text: str, size: int, overlap: int, kind: str | None = None) -> list[tup
         if before[a] >= 0:
             p = before[a]
             heapq.heappush(heap, (strength[p], ends[a] - begins[p], p, a))
-    return [(max(0, begins[i] - tail), begins[i], ends[i]) for i in range(n) if alive[i]]
+    return [(word_start(text, max(0, begins[i] - tail), begins[i]), begins[i], ends[i]) for i in range(n) if alive[i]]
+
+
+def word_start(text: str, at: int, end: int) -> int:
+    """The first start of a word from ``at`` on; ``at`` itself where the stretch up to ``end`` is one word."""
+    if at == 0 or at == end or text[at - 1].isspace():
+        return at
+    gap = re.compile(r"\s+").search(text, at, end)
+    return at if gap is None else gap.end()
 
 
 def split_items(items: DataFrame) -> DataFrame:
@@ -122,15 +131,34 @@ def split_items(items: DataFrame) -> DataFrame:
     return large.mapInArrow(run, schema)
 
 
-def sized_items(blocks: DataFrame, chunks: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Blocks and chunks with the limits of their job's current row. Only rows that could exceed the least limit join."""
+def limit_floor(limits: DataFrame, buckets: int) -> Column:
+    """array<int>: for each bucket of hashed job ids the least limit of its jobs, at most the default.
+
+    One row of fixed size that every scan task gets, so items that no job of their bucket could find too large are left
+    out before anything is shuffled. It is a lower bound: with very many jobs a bucket it prunes less and loses nothing.
+    """
+    least = limits.groupBy(job_bucket(F.col("job_id"), buckets).alias("at")).agg(F.min("size").alias("least"))
+    every = limits.sparkSession.range(buckets).select(F.col("id").cast("int").alias("at")).join(least, "at", "left")
+    filled = every.select("at", F.least(F.coalesce("least", F.lit(SIZE)), F.lit(SIZE)).alias("least"))
+    return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "least"))), lambda x: x["least"])).scalar()
+
+
+def job_bucket(job_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(job_id), F.lit(buckets)).cast("int")
+
+
+def sized_items(blocks: DataFrame, chunks: DataFrame, jobs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Blocks and chunks that may be too large, with the limits of their job's current row.
+
+    Only items above the floor of their job's bucket (see :func:`limit_floor`) carry their text to the join.
+    """
     limits = current_rows(jobs, F.col("options.chunk_size_tokens").alias("s"), F.col("options.chunk_overlap_tokens").alias("o"))
     size = F.greatest(F.coalesce("s", F.lit(SIZE)), F.lit(LEAST_SIZE))
     limits = limits.select(F.col("id").alias("job_id"), size.alias("size"), F.greatest(F.coalesce("o", F.lit(OVERLAP)), F.lit(0)).alias("overlap"))
     one = blocks.select(F.lit("block").alias("src"), F.col("block_key").alias("rec_key"), "job_id", "kind", "text")
     kind = F.when(F.size("kinds") == 1, F.element_at("kinds", 1))
     two = chunks.select(F.lit("chunk").alias("src"), F.col("chunk_key").alias("rec_key"), "job_id", kind.alias("kind"), "text")
-    able = one.unionByName(two).filter(estimate(F.col("text")) > LEAST_SIZE)  # no limit is lower: exact, not a sample
+    able = one.unionByName(two).filter(estimate(F.col("text")) > F.get(limit_floor(limits, buckets), job_bucket(F.col("job_id"), buckets)))
     joined = able.join(limits, "job_id", "left")
     return joined.withColumn("size", F.coalesce("size", F.lit(SIZE))).withColumn("overlap", F.coalesce("overlap", F.lit(OVERLAP)))
 
