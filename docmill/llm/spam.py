@@ -5,8 +5,9 @@ HTML undone) and its lines are labelled prose, link list, tag list or menu by a
 features. Emissions and transitions are counted on labelled lines: passages of certain language as prose, and lists
 composed of their words. A message is flagged if most words of its body stand in lines that aren't prose.
 
-Defined results: null, empty and blank texts, and bodies of fewer than ``LEAST_WORDS`` words, are never flagged; a text
-without headers is all body; a body cut off in its encoding is read as far as it goes. Every row is judged by itself.
+Defined results: null, empty and blank texts, and bodies without words, are never flagged; a body of any other length is
+judged; a text without headers is all body; a body cut off in its encoding is read as far as it goes. Every row is judged
+by itself.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm.ranking import drawn
 from docmill.session import table
 
 STATES = ("prose", "links", "tags", "menu")
-LEAST_WORDS = 12
 LEAST_SHARE = 0.5
-MOST_SAMPLES = 5_000  # bound of the labelled passages
+MOST_SAMPLES = 5_000  # bound of the labelled passages, drawn by hash
 
 HEADER = re.compile(r"^[A-Za-z][A-Za-z-]*:[ \t]?.*$")
 FIELD = re.compile(r"^([A-Za-z][A-Za-z-]*):[ \t]?(.*(?:\n[ \t].*)*)", re.M)
@@ -73,24 +74,40 @@ def split_head(message: str) -> tuple[dict[str, str], str]:
     return {k.lower(): v for k, v in FIELD.findall(head)}, body
 
 
+def parts_of(fields: dict[str, str], body: str) -> list[tuple[dict[str, str], str]]:
+    """The text parts of a message that a reader sees, in order, however deep they are nested.
+
+    Of alternatives the plain one is taken, or the first where none is plain; of other parts all that are text and no
+    attachment. A message inside the message isn't its own body. A cut-off multipart is read as far as it goes.
+    """
+    out, todo = [], [(fields, body)]
+    while todo:
+        fields, body = todo.pop()
+        kind = fields.get("content-type", "text/plain").lower()
+        limit = BOUNDARY.search(fields.get("content-type", "")) if kind.startswith("multipart/") else None
+        if limit is None or "--" + limit[1] not in body:
+            if kind.startswith(("text/", "multipart/")) or "/" not in kind:
+                out.append((fields, body))
+            continue
+        inner = [split_head(p.lstrip("-").lstrip("\n") if not p.startswith("\n") else p[1:]) for p in body.split("--" + limit[1])[1:]]
+        inner = [p for p in inner if p[1].strip() and not p[0].get("content-disposition", "").lower().lstrip().startswith("attachment")]
+        texts = [p for p in inner if p[0].get("content-type", "text/plain").lower().startswith(("text/", "multipart/"))] or inner[:1]
+        if kind.startswith("multipart/alternative"):
+            texts = ([p for p in texts if "html" not in p[0].get("content-type", "").lower()] or texts)[:1]
+        todo += reversed(texts)
+    return out
+
+
 def own_text(message: str) -> str:
     """The text of a message's own body."""
     message = message.replace("\r\n", "\n").replace("\r", "\n")
-    fields, body = split_head(message)
-    kind, encoding = fields.get("content-type", ""), fields.get("content-transfer-encoding", "")
-    limit = BOUNDARY.search(kind)
-    for _ in range(3):  # multipart inside multipart
-        if limit is None:
-            break
-        parts = [split_head(p.lstrip("-").lstrip("\n") if not p.startswith("\n") else p[1:]) for p in body.split("--" + limit[1])[1:]]
-        texts = [p for p in parts if p[0].get("content-type", "text/plain").lower().startswith(("text/", "multipart/"))] or parts[:1]
-        plain = [p for p in texts if "html" not in p[0].get("content-type", "").lower() and p[1].strip()] or texts
-        if not plain:
-            break
-        fields, body = plain[0]
-        kind, encoding = fields.get("content-type", ""), fields.get("content-transfer-encoding", "")
-        limit = BOUNDARY.search(kind)
-    body = decoded(body, encoding, kind)
+    return "\n".join(own_part(fields, body) for fields, body in parts_of(*split_head(message)))
+
+
+def own_part(fields: dict[str, str], body: str) -> str:
+    """One text part, readable, without what others wrote, signature and disclaimer."""
+    kind = fields.get("content-type", "")
+    body = decoded(body, fields.get("content-transfer-encoding", ""), kind)
     if "html" in kind.lower() or re.search(r"<(?:a|div|p|br|table|html)\b", body, re.I):
         body = HIDDEN.sub(" ", body)
         body = LINK.sub(lambda m: f" {TAG.sub(' ', m[2])}: {m[1]}\n", body)
@@ -100,7 +117,7 @@ def own_text(message: str) -> str:
         body = body[: reply.start()]
     body = re.split(r"^-- ?$", body, maxsplit=1, flags=re.M)[0]
     stars = list(DISCLAIMER.finditer(body))
-    if stars and len(body) - stars[-1].end() < 400:
+    if stars and "\n\n" not in body[stars[-1].end() :].strip():  # a last paragraph under a line of stars
         body = body[: stars[-1].start()]
     return "\n".join(x for x in body.split("\n") if not x.lstrip().startswith(">"))
 
@@ -237,7 +254,8 @@ def opened(blob: bytes) -> Labeller:
 
 def line_shares(documents: DataFrame, samples: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per message: ``key``, n_words, non_prose (share), and words by label. One scan without a shuffle."""
-    passages = [r["text"] for r in samples.filter("text is not null").select("text").orderBy("text").limit(MOST_SAMPLES).collect()]
+    passages = drawn(samples.filter("text is not null").select(F.lit(0).alias("all"), "text"), "all", "text", MOST_SAMPLES)
+    passages = [r["text"] for r in passages.orderBy("text").collect()]
     sent = documents.sparkSession.sparkContext.broadcast(pickle.dumps(Labeller(passages or ["It is late."])))
     kind = documents.schema[key].dataType.simpleString()
 
@@ -258,4 +276,4 @@ def p10_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p10_lines(spark, sf).filter((F.col("n_words") >= LEAST_WORDS) & (F.col("non_prose") > LEAST_SHARE)).select("doc_id").distinct()
+    return p10_lines(spark, sf).filter((F.col("n_words") > 0) & (F.col("non_prose") > LEAST_SHARE)).select("doc_id").distinct()
