@@ -1,7 +1,10 @@
 """Composed lines with known personal data, the labelled rows that the models of problem 1 are fit on.
 
-All names, numbers and addresses are drawn at random; half of the names are unknown to the lexicon, and lexicon words
-also occur as firms, projects, streets and places, so that the lexicon alone decides nothing.
+Nothing here is a sentence about people: a line is a passage of certain language with a value put between two of its
+words, or a value behind the label of a form field, in a list, a table cell or on a line of its own. All names, numbers
+and addresses are drawn at random; half of the names are unknown to the lexicon, and lexicon words also occur as firms,
+projects, streets and places, so that the lexicon alone decides nothing. Labels and passages can be parted, so that
+models fit on one part are judged on wording they have not seen.
 """
 
 from __future__ import annotations
@@ -12,57 +15,49 @@ import string
 
 SYLLABLES = "al an ar bar bel ber bran car cor dan del dor el en fal fer gar gold han hol il jan kar kel lan lin lor mal mar men mor nal ner nor or pel per quin ral ren ros sal san sel sor tal tan ter tor ul val van ver vin wal wes zar".split()
 LANGS = ("en", "es", "fr", "de", "pt", "it")
-#: Contexts around a slot; fixed texts of everyday letters and forms.
-NAME_LINES = {
-    "en": ["Prepared by: {}", "According to {}, {s}", "The form was filled in by {}.", "Attn. {}", "{} signed the receipt yesterday.", "Kind regards, {}", "We spoke with {} after the meeting.", "Contact: {}", "Please ask {} about it.", "{}", "| {} | 34 |", "The letter from {} arrived."],
-    "es": ["Elaborado por: {}", "Según {}, {s}", "El formulario fue rellenado por {}.", "A la atención de {}", "{} firmó el recibo.", "Un saludo, {}", "Hablamos con {} por la tarde.", "Contacto: {}", "{}", "| {} | 12 |", "Pregunte a {} por ello."],
-    "fr": ["Préparé par : {}", "Selon {}, {s}", "Le formulaire a été rempli par {}.", "À l’attention de {}", "{} a signé le reçu.", "Cordialement, {}", "Nous avons parlé avec {} hier.", "Contact : {}", "{}", "| {} | 7 |"],
-    "de": ["Erstellt von: {}", "Laut {} ist {s}", "Das Formular wurde von {} ausgefüllt.", "z. Hd. {}", "{} hat die Quittung unterschrieben.", "Mit freundlichen Grüßen {}", "Wir haben mit {} gesprochen.", "Ansprechpartner: {}", "{}", "| {} | 90 |"],
-    "pt": ["Elaborado por: {}", "Segundo {}, {s}", "O formulário foi preenchido por {}.", "Ao cuidado de {}", "{} assinou o recibo.", "Com os melhores cumprimentos, {}", "Falámos com {} ontem.", "Contacto: {}", "{}", "| {} | 61 |"],
-    "it": ["Redatto da: {}", "Secondo {}, {s}", "Il modulo è stato compilato da {}.", "Alla c.a. di {}", "{} ha firmato la ricevuta.", "Cordiali saluti, {}", "Abbiamo parlato con {} ieri.", "Contatto: {}", "{}", "| {} | 5 |"],
-}
 TITLES = {"en": ["Mr", "Mrs.", "Ms", "Dr", "Mr.", "Prof."], "es": ["Sr.", "Sra.", "D.", "D.ª", "Dra.", "Don"], "fr": ["M.", "Mme", "Mlle", "Dr", "Monsieur"], "de": ["Herr", "Frau", "Herrn", "Dr.", "Herr Dr."], "pt": ["Sr.", "Sra.", "Eng.ª", "Eng.", "Dr.ª", "Dona"], "it": ["Sig.", "Sig.ra", "Dott.", "Dott.ssa", "Ing."]}
 PARTICLES = {"en": ["O’", ""], "es": ["de ", "del "], "fr": ["de ", "d’", "le "], "de": ["von ", "von der "], "pt": ["do ", "da "], "it": ["De ", "Di "]}
-PHONE_LINES = {
-    "en": ["Phone: {}", "Tel. {}", "Mobile {}", "Call {} as soon as you can.", "The number {} is staffed all day.", "{}", "| {} | 8 |"],
-    "es": ["Tel.: {}", "Móvil {}", "Llame al {} hasta el lunes.", "El número {} está atendido.", "{}", "Teléfono {}"],
-    "fr": ["Tél. : {}", "Appelez le {} demain.", "Portable {}", "{}", "Le numéro {} répond toujours."],
-    "de": ["Tel. {}", "Mobil {}", "Telefon: {}", "Rufen Sie {} an.", "{}", "Die Nummer {} ist besetzt."],
-    "pt": ["Telefone: {}", "Telemóvel {}", "Ligue para {} amanhã.", "{}", "O número {} está ativo."],
-    "it": ["Tel. {}", "Cellulare {}", "Chiamare il {} domani.", "{}", "Telefono: {}", "Il numero {} è attivo."],
-}
-ID_LINES = {
-    "en": ["National ID: {}", "Identity number {} was noted.", "the holder of ID card {} may enter.", "Tax identifier {}", "SSN {}", "Passport no. {}", "| {} | 3 |", "{}"],
-    "es": ["DNI {}", "NIF: {}", "Con documento de identidad {}.", "Número de pasaporte {}", "{}", "NIE {}"],
-    "fr": ["Numéro de sécurité sociale {}", "Pièce d’identité {}.", "Carte d’identité n° {}", "{}", "Numéro fiscal {}"],
-    "de": ["Steuer-ID {}", "Personalausweis {}", "Ausweisnummer {} wurde notiert.", "{}", "Sozialversicherungsnummer {}", "Reisepass {}"],
-    "pt": ["Cartão de cidadão {}.", "cartão de cidadão {}", "NIF {}", "Número de contribuinte {}", "{}", "Passaporte {}"],
-    "it": ["Codice fiscale {}", "Carta d'identità {}", "Documento {} annotato.", "{}", "Passaporto {}"],
+#: Labels of form fields, single words of everyday letters and forms; every third one can be held out of fitting.
+LABELS = {
+    "name": "Name Contact Attn Signed Author Customer Nombre Contacto Firmado Cliente Atención Nom Contact Signé Client Auteur Name Kontakt Kunde Gezeichnet Nome Contato Assinado Cliente Nome Contatto Firmato Autore Dear Regards Hola Saludos Bonjour Cordialement Liebe Grüße Olá Cumprimentos Gentile Saluti".split(),
+    "phone": "Phone Tel Mobile Call Fax Telephone Teléfono Tel. Móvil Llame Tél. Téléphone Portable Appelez Telefon Mobil Handy Anruf Telefone Telemóvel Ligue Telefono Cellulare Chiamare Cell Ruf".split(),
+    "id_number": "ID SSN Passport Identity NINO DNI NIF NIE Pasaporte CNI Passeport Fiscal Ausweis Personalausweis Steuernummer Reisepass Sozialversicherung Cidadão Contribuinte Passaporte Passaporto Documento Fiscale Identità Identidad Identité".split(),
+    "address": "Address Home Lives Street Dirección Domicilio Vive Adresse Domicile Habite Anschrift Adresse Wohnt Wohnort Morada Endereço Mora Indirizzo Residenza Abita".split(),
+    "email": "E-mail Email Mail Contact Correo Courriel Mél E-Mail Kontakt Correio Posta Contatto mailto".split(),
 }
-ADDRESS_LINES = {
-    "en": ["Address: {}", "The parcel was left at {} today.", "Deliver everything to {}.", "She lives at {}.", "{}"],
-    "es": ["Domicilio: {}", "Dirección: {}", "Vive en {}.", "Entregar todo en {}.", "{}"],
-    "fr": ["Adresse : {}", "Livrer le tout au {}.", "Elle habite {}.", "{}"],
-    "de": ["Anschrift: {}", "Bitte alles an {} liefern.", "Wohnhaft in der {}.", "{}"],
-    "pt": ["Morada: {}", "Entregar tudo na {}.", "Vive na {}.", "{}"],
-    "it": ["Indirizzo: {}", "Consegnare tutto in {}.", "Abita in {}.", "{}"],
-}
-EMAIL_LINES = ["Contact: {}", "E-mail {}", "<{}>", "Please write to {} today.", "Replies go to {} only.", "Escriba a {} hoy.", "Écrivez à {} demain.", "Bitte schreiben Sie an {}.", "Scrivere a {} oggi.", "Escreva para {} hoje.", "{}", "| {} | 18 |", "mailto:{}", "Courriel {}", "Correo {}"]
-#: Lines that hold numbers or capitals but nothing personal; N is a digit run, W an invented word, F and G lexicon words.
+#: Words that titles of sections and tables are made of in business papers; ordinary words, whatever their case.
+TITLE_WORDS = (
+    "summary notes scope introduction overview next steps open points items results conclusion background details appendix contents status report minutes agenda price storage goods terms delivery payment safety general current situation"
+    " zusammenfassung notizen umfang geltungsbereich einleitung überblick nächste schritte offene punkte ergebnisse fazit hintergrund anhang inhalt stand bericht protokoll preis lagerung waren lieferung zahlung sicherheit lage"
+    " resumen notas alcance introducción próximos pasos puntos pendientes resultados conclusión anexo contenido estado informe acta precio almacenamiento mercancías condiciones entrega pago seguridad situación actual"
+    " résumé remarques portée introduction aperçu prochaines étapes points ouverts résultats annexe contenu état rapport prix stockage marchandises conditions livraison paiement sécurité situation actuelle"
+    " âmbito próximos passos pontos abertos pendentes conclusão conteúdo relatório ata preço armazenamento mercadorias condições pagamento segurança situação atual"
+    " riepilogo note ambito prossimi passi punti aperti risultati conclusione allegato contenuto stato rapporto verbale prezzo magazzino merci condizioni consegna pagamento sicurezza situazione attuale"
+).split()
+#: What numbers and capitals stand for that are nobody's: order, ticket, batch, version and their like.
+NUMBERED = "Order Ticket Batch Version Invoice Reference Ref Room Item Serial Article Release Build Code SKU Pedido Lote Versión Factura Referencia Artículo Commande Lot Facture Référence Salle Auftrag Charge Rechnung Zimmer Artikel Bestellung Encomenda Versão Fatura Ordine Lotto Versione Fattura Articolo Codice Part Chapter Page Section".split()
+NAMED = "project plan firm company city town hotel school river proyecto empresa ciudad hotel projet société ville rivière Projekt Plan Firma Stadt Fluss projeto empresa cidade progetto ditta città piano".split()
+FIRMS = ["& Co.", "GmbH", "Ltd", "S.A.", "S.L.", "AG", "Inc.", "Lda", "S.r.l.", "SARL"]
+#: Forms of numbers and signs that are nobody's; n is a run of digits, U a capital, W an invented word, w the same in small letters.
 NOTHING = [
-    "Order {n3}-{n2} replaced {n2}/{n3}.", "Ticket {n3}-{n2}-{n3} replaced order {n4}-{n4}.", "Lot {n3}-{n2}-{n4}.", "Lote {n3}-{n2}-{n3}.", "Lotto {n3}-{n3}-{n2}.", "Charge {n2}-{n3}-{n3}.", "Batch {n4}-{n4}-{n3}.", "Install release {n2}.{n1}.{n1}.{n1}.", "Version {n2}.{n1}.{n2} is out.", "Instale la versión {n2}.{n1}.{n1}.{n1}.", "La commande {n3}-{n2} remplace {n2}/{n3}.", "Auftrag {n3}-{n2} ersetzt {n3}/{n4}.", "El pedido {n3}-{n2} sustituye al {n4}/{n3}.", "L'ordine {n4}-{n4} sostituisce {n3}/{n2}.", "O pedido {n3}-{n2} substitui {n3}/{n3}.",
-    "The reference B0{U}-{n3}{U} was given.", "Reference {U}{n2}/{U}{U}{n2} holds.", "La referencia {U}{U}-{n4} se entregó.", "Room {n2}, floor {n1}, bay {n1}.", "Paid {n3}.{n4} on 20{n2}-0{n1}-1{n1}, ISBN-like code {n4}-{n3}.", "The cost was about £{n4} or €{n3}.", "Die Kosten lagen bei etwa {n4} €.", "There were {n4} boxes.", "| item | {n4} | {n3}.{n2} |", "item\t{n4}\t{n4}.{n2}", "On 20{n2}-0{n1}-2{n1} it was 20{n2}.", "Serial {n4}{n4}{n4}.", "ISBN 978-{n1}-{n4}-{n4}-{n1}.", "Invoice {n4}-{n4}", "SKU {n4}{n4}", "Build {n4}.{n4}.{n2}", "Timestamp 20{n2}-0{n1}-1{n1} 1{n1}:3{n1}:0{n1}.",
-    "The project {W} {W} covers section {n1}.", "The plan {G} {F} covers section {n1}.", "Das Projekt {W} {W} umfasst Teil {n1}.", "Das Projekt Hohes {W} umfasst Teil {n1}.", "Il progetto {W} {W} copre la parte {n1}.", "Le projet {W} {W} couvre la section {n1}.", "El plan {W} {F} abarca la sección {n1}.", "O projeto {W} {F} cobre a secção {n1}.", "{W} {F} & Co. {U}{n2}/{U}{U}{n2}", "{F} & {W} GmbH", "{W} & Co.", "{W} Ltd closed.", "The boat to {W} {W} left.", "{W} {W}, the town, is small.", "He went to San {W}.", "The {F} Street is closed.", "La rue est fermée, via {n1}.", "{W} · The short note", "{W} Avenue", "Grand {W} hotel", "Use the @{w} handle, not a mailbox.", "Meet @ noon. Then go.", "p@per and b°xes. Then more.", "rate a@b. The rest", "git@", "https://{w}.example/{w}?id={n4}", "[EMAIL] and [PHONE] were given.", "{G} is a plant. {S}", "Mark it. Will you? {S}", "{S} {S}", "Nächste Schritte", "Open Points", "INSPECTION NOTES {U}{U}-{n4}", "{F}", "{W}", "Notas de Inspección", "Price Summary",
-    "Place {n1} is free.", "Via {n1}", "Platz {n2} und Weg {n1}.", "Quai {n1} is wet.", "Box {n2} is full.", "{n3} boxes in the Lower Hall", "In {W}, {W} and {W} it rained.", "Montag, Dienstag", "{F} Hill is high.", "The {W} River",
-]
+    "{n3}-{n2}", "{n3}-{n2}-{n4}", "{n4}-{n4}-{n3}", "{n3}-{n3}-{n2}", "{n2}-{n3}-{n3}", "{n3}-{n3}-{n4}", "{n2}-{n4}-{n4}", "{n3} {n3} {n3}", "{n4}-{n4}-{n4}", "{n2}.{n1}.{n1}.{n1}", "{n2}.{n1}.{n2}", "{n2}/{n3}", "{n4}-{n4}", "{n4}{n4}", "{n4}{n4}{n4}", "{U}0{U}-{n3}{U}", "{U}{n2}/{U}{U}{n2}", "{U}{U}-{n4}", "{n4}.{n4}.{n2}", "978-{n1}-{n4}-{n4}-{n1}", "{U}{n4}", "{n3}", "{n4}",
+]
+AMOUNTS = ["£{n4}", "€{n3}", "{n4} €", "{n3}.{n2}", "{n1},{n3}", "${n2}.{n2}", "20{n2}-0{n1}-1{n1}", "1{n1}.0{n1}.20{n2}", "1{n1}:3{n1}:0{n1}", "{n2} %", "{n4}", "20{n2}"]
+SIGNS = ["@{w}", "@ {w}", "{w}@", "{w} @ {n2}", "https://{w}.example/{w}?id={n4}", "[EMAIL]", "[PHONE]", "[NAME]", "a@b", "p@{w}", "{w}.{w}", "#{w}"]
 
 
 class Composer:
-    def __init__(self, lexicon: list[tuple[str, str]], prose: list[str], seed: int = 20) -> None:
+    """Draws labelled lines, from all labels and passages, or from every third (``held_out``), or the others (``fit``)."""
+
+    def __init__(self, lexicon: list[tuple[str, str]], prose: list[str], seed: int = 20, part: str = "all") -> None:
         self.r = random.Random(seed)
         self.given = [t for t, k in lexicon if k == "given"] or ["Anna"]
         self.family = [t for t, k in lexicon if k != "given"] or ["Muster"]
-        self.prose = [s for text in prose for s in re.split(r"(?<=[.!?])\s+", text)] or ["It is late."]
+        sentences = [s for text in prose for s in re.split(r"(?<=[.!?])\s+", text) if len(s.split()) > 3] or ["It is late again today."]
+        own = lambda x: [w for i, w in enumerate(x) if part == "all" or (i % 3 == 1) == (part == "held_out")]
+        self.prose = own(sentences) or sentences
+        self.labels = {k: own(v) for k, v in LABELS.items()}
+        self.numbered, self.named = own(NUMBERED), own(NAMED)
 
     def digits(self, n: int) -> str:
         return str(self.r.randint(1, 9)) + "".join(self.r.choice(string.digits) for _ in range(n - 1))
@@ -70,6 +65,10 @@ class Composer:
     def word(self) -> str:
         return "".join(self.r.sample(SYLLABLES, self.r.choice((2, 2, 3)))).capitalize()
 
+    def filled(self, form: str) -> str:
+        one = {"{W}": self.word, "{w}": lambda: self.word().lower(), "{U}": lambda: self.r.choice(string.ascii_uppercase), **{f"{{n{i}}}": (lambda i=i: self.digits(i)) for i in range(1, 5)}}
+        return re.sub(r"\{(?:n\d|[WwU])\}", lambda m: one[m[0]](), form)
+
     def name(self, lang: str) -> str:
         r = self.r
         known = lambda pool: (r.choice(pool) if r.random() < 0.62 else self.word())
@@ -121,12 +120,12 @@ class Composer:
         place = r.choice([self.word(), f"{self.word()} {self.word()}", f"{self.word()}-le-{self.word()}"])
         code = "00" + d(3)
         body = {
-            "en": [f"{n} {w} Street", f"{n} Old {w} Lane", f"Unit {d(1)}, {n} {w} Avenue", f"{n} {w} Rd., Apt {d(1)}", f"P.O. Box {d(3)}", f"{n} {w} Road"],
-            "es": [f"Calle de {w}, {n}", f"C/ {w} nº {n}", f"Plaza {w} {n}", f"Avda. {w}, {n}, 3.º B", f"Calle {w} {n}", f"Paseo {w}, {n}"],
-            "fr": [f"{n}, rue des {w}s", f"{n} bis avenue {w}", f"{n} bd {w}", f"{n}, rue {w}", f"{n} place {w}"],
-            "de": [f"{w}straße {n}", f"{w}weg {n}", f"Am {w}platz {n}", f"{w}str. {n}", f"{w}gasse {n}", f"Postfach {d(4)}"],
-            "pt": [f"Rua do {w}, {n}", f"Travessa {w} n.º {n}", f"Av. {w}, {n}", f"Rua {w} {n}", f"Largo {w}, {n}"],
-            "it": [f"Via {w} {n}", f"Piazza {w} {n}", f"Corso {w}, {n}", f"Viale {w} {n}"],
+            "en": [f"{n} {w} Street", f"{n} Old {w} Lane", f"Unit {d(1)}, {n} {w} Avenue", f"{n} {w} Rd., Apt {d(1)}", f"P.O. Box {d(r.choice((2, 3, 4)))}", f"PO Box {d(3)}", f"{n} {w} Road"],
+            "es": [f"Calle de {w}, {n}", f"C/ {w} nº {n}", f"Plaza {w} {n}", f"Avda. {w}, {n}, 3.º B", f"Calle {w} {n}", f"Paseo {w}, {n}", f"Apartado {d(3)}"],
+            "fr": [f"{n}, rue des {w}s", f"{n} bis avenue {w}", f"{n} bd {w}", f"{n}, rue {w}", f"{n} place {w}", f"B.P. {d(3)}"],
+            "de": [f"{w}straße {n}", f"{w}weg {n}", f"Am {w}platz {n}", f"{w}str. {n}", f"{w}gasse {n}", f"Postfach {d(r.choice((2, 3, 4)))}"],
+            "pt": [f"Rua do {w}, {n}", f"Travessa {w} n.º {n}", f"Av. {w}, {n}", f"Rua {w} {n}", f"Largo {w}, {n}", f"Caixa postal {d(3)}"],
+            "it": [f"Via {w} {n}", f"Piazza {w} {n}", f"Corso {w}, {n}", f"Viale {w} {n}", f"Casella postale {d(3)}"],
         }[lang]
         out = r.choice(body)
         tail = r.random()
@@ -153,55 +152,88 @@ class Composer:
     def heading(self) -> str:
         """Ordinary or invented words set like a title or a name, perhaps with a code or number."""
         r = self.r
-        words = [r.choice(re.findall(r"[^\W\d_]{2,}", r.choice(self.prose)) or ["x"]) if r.random() < 0.5 else self.word() for _ in range(r.choice((2, 2, 3)))]
-        upper = r.random() < 0.6
+        words = [r.choice(re.findall(r"[^\W\d_]{2,}", r.choice(self.prose)) or ["x"]) if r.random() < 0.6 else self.word() for _ in range(r.choice((2, 2, 3)))]
+        upper = r.random() < 0.5
         often = r.choice((0.2, 0.9))
         text = " ".join(w.upper() if upper else w.capitalize() if i == 0 or r.random() < often else w.lower() for i, w in enumerate(words))
         return text + r.choice(["", "", f"    {r.choice('ABCXZ')}{r.choice('ABCXZ')}-{self.digits(4)}", f"   {self.digits(2)}", "\tno\tsum", "."])
 
-    def misread(self) -> str:
+    def misread(self, text: str) -> str:
         """A sentence in which a scan made signs of letters."""
-        text = list(self.r.choice(self.prose))
-        for i, c in enumerate(text):
-            if c in "aoils" and self.r.random() < 0.12:
-                text[i] = {"a": "@", "o": "0", "i": "!", "l": "1", "s": "5"}[c]
-        return "".join(text)
-
-    def batch(self) -> str:
-        d, r = self.digits, self.r
-        code = r.choice("-/ ").join(d(r.choice((2, 3, 4))) for _ in range(r.choice((2, 3, 3))))
-        return r.choice(["Lot {}.", "Lote {}.", "Lote n.º {}.", "Lotto {}.", "Charge {}.", "Batch no. {} passed.", "Ticket {} replaced order 12-44.", "Auftrag {} ersetzt 1/22.", "La commande {} remplace 7/8.", "El pedido {} sustituye al 3/4.", "A encomenda {} substitui 3/90.", "L'ordine {} sostituisce 4/5.", "Order\n{}.", "Lot\n{}.", "Char9e {}.", "L0tto {}.", "Part {}.", "item\t{}\t33"]).format(code)
+        signs = {"a": "@", "o": "0", "i": "!", "l": "1", "s": "5"}
+        return "".join(signs[c] if c in signs and self.r.random() < 0.12 else c for c in text)
+
+    def inside(self, value: str) -> tuple[str, int]:
+        """A passage with a value between two of its words, and where it stands: mostly behind a short word, or in place
+        of the first words, or at the end."""
+        r, words = self.r, self.r.choice(self.prose).split()
+        short = [i for i in range(1, len(words)) if len(words[i - 1]) <= 4 and words[i - 1].islower()]
+        pick = r.random()
+        if pick < 0.5 and short:
+            at = r.choice(short)
+            before, after = words[:at], words[at + r.choice((0, 0, 1, 2)) :]
+        elif pick < 0.75:
+            before, after = [], [w for w in words[r.choice((1, 2, 2, 3)) :]]
+        elif pick < 0.9:
+            before, after = words[: r.randint(2, len(words) - 1)], []
+        else:
+            at = r.randint(1, len(words) - 1)
+            before, after = words[:at], words[at:]
+        head = " ".join(before) + " " if before else ""
+        return head + value + (" " + " ".join(after) if after else "."), len(head)
+
+    def around(self, value: str, label: str) -> tuple[str, int]:
+        """A value behind a label, in a passage, in a cell, list or line of its own, and where it stands."""
+        r, form = self.r, self.r.random()
+        if form < 0.34:
+            mark = r.choice([" ", ": ", ": ", " : ", " no. ", " n° ", ". ", ", ", "\n", "\t"])
+            shown = label if r.random() < 0.7 else label.lower()
+            if r.random() < 0.3:
+                text, at = self.inside(f"{shown.lower()}{mark}{value}")
+                return text, at + len(shown) + len(mark)
+            tail = r.choice(["", "", ".", f" {r.choice(self.prose).split(' ', 1)[1]}"])
+            return f"{shown}{mark}{value}{tail}", len(shown) + len(mark)
+        if form < 0.7:
+            return self.inside(value)
+        head, tail = r.choice([("", ""), ("", ""), ("| ", f" | {self.digits(2)} |"), ("", f"\t{self.digits(2)}"), (f"{self.word().lower()}\tn\n", f"\t{self.digits(1)}"), ("", f"\tabc\t{self.digits(1)}"), ("- ", ""), ("<", ">"), ("(", ")"), ("", f"\n{self.word()}"), (f"{self.word().lower()}, ", "")])
+        return head + value + tail, len(head)
 
     def nothing(self) -> str:
-        pick = self.r.random()
-        if pick < 0.45:
-            return self.heading() if pick < 0.2 else self.misread() if pick < 0.3 else self.batch()
-        text = self.r.choice(NOTHING)
-        one = {"{W}": self.word, "{w}": lambda: self.word().lower(), "{U}": lambda: self.r.choice(string.ascii_uppercase), "{F}": lambda: self.r.choice(self.family).capitalize(), "{G}": lambda: self.r.choice(self.given).capitalize(), "{S}": lambda: self.r.choice(self.prose), **{f"{{n{i}}}": (lambda i=i: self.digits(i)) for i in range(1, 5)}}
-        return re.sub(r"\{(?:n\d|[WwUFGS])\}", lambda m: one[m[0]](), text)
+        """A line with numbers, signs or capitals and nobody in it."""
+        r, pick = self.r, self.r.random()
+        if pick < 0.18:
+            return self.heading()
+        if pick < 0.28:
+            return self.misread(r.choice(self.prose))
+        if pick < 0.62:
+            number, label = self.filled(r.choice(NOTHING)), r.choice(self.numbered)
+            label = label if r.random() < 0.7 else label.lower()
+            shown = f"{label}{r.choice([' ', ' ', ': ', ' no. ', ' n.º ', ' n.º' + chr(10), chr(10)])}{number}"
+            shown = self.misread(shown) if r.random() < 0.1 else shown
+            if r.random() < 0.3:
+                shown += f" {r.choice(r.choice(self.prose).split()).lower()} {self.filled(r.choice(NOTHING))}"
+            return self.inside(shown)[0] if r.random() < 0.6 else f"{shown}."
+        if pick < 0.73:
+            return self.inside(self.filled(r.choice(AMOUNTS)))[0] if r.random() < 0.7 else f"{self.word().lower()}\t{self.filled(r.choice(AMOUNTS))}\t{self.filled(r.choice(AMOUNTS))}"
+        if pick < 0.79:
+            return self.inside(self.filled(r.choice(SIGNS)))[0]
+        some = lambda: self.word() if r.random() < 0.6 else r.choice(r.choice((self.given, self.family))).capitalize()
+        thing = r.choice([*[f"{r.choice(self.named)} {some()} {some()}"] * 3, f"{r.choice(self.named)} {some()}", f"{some()} {r.choice(FIRMS)}", f"{some()} {some()} {r.choice(FIRMS)}", f"{some()} & {some()}", f"“{some()} {some()}”", f"{some()}, {some()}, {some()}", f"{some()} Street", f"{some()} Hill", f"San {some()}", f"{some()} · {self.heading()}", some()])
+        return self.inside(thing)[0] if r.random() < 0.7 else thing + r.choice(["", ".", f" {self.digits(1)}"])
 
     def line(self) -> tuple[str, list[tuple[int, int, str]]]:
         r, lang = self.r, self.r.choice(LANGS)
         kind = r.choice(["name", "name", "phone", "id_number", "address", "email", None, None, None])
         if kind is None:
             return self.nothing(), []
-        value, frame = {
-            "name": lambda: (self.name(lang), r.choice([*NAME_LINES[lang], "{}", "{}", "{}\t45", "name\tn\n{}\t7", "{}\tabc\t9"])), "phone": lambda: (self.phone(), r.choice(PHONE_LINES[lang])), "id_number": lambda: (self.identity(), r.choice(ID_LINES[lang])), "address": lambda: (self.street(lang), r.choice(ADDRESS_LINES[lang])), "email": lambda: (self.email(), r.choice(EMAIL_LINES)),
-        }[kind]()
-        if kind in ("phone", "id_number") and frame in ("{}", "| {} | 8 |", "| {} | 3 |") and r.random() < 0.5:
-            frame = f"{{}}\n{self.word()}"
-        frame = frame.replace("{s}", self.prose_tail())
-        at = frame.index("{}")
-        return frame.replace("{}", value, 1), [(at, at + len(value), kind)]
-
-    def prose_tail(self) -> str:
-        s = self.r.choice(self.prose)
-        return s[:1].lower() + s[1:]
+        value = {"name": lambda: self.name(lang), "phone": self.phone, "id_number": self.identity, "address": lambda: self.street(lang), "email": self.email}[kind]()
+        text, at = self.around(value, r.choice(self.labels[kind]))
+        return text, [(at, at + len(value), kind)]
 
 
-def labelled_lines(n: int, lexicon: list[tuple[str, str]], prose: list[str]) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_lines(n: int, lexicon: list[tuple[str, str]], prose: list[str], part: str = "all") -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``n`` short texts of one to four lines with the spans of the personal data in them."""
-    composer = Composer(lexicon, prose)
+    composer = Composer(lexicon, prose, part=part)
     out = []
     for _ in range(n):
         text, truth = "", []
