@@ -92,7 +92,10 @@ def test_pieces_cover_the_text(text, size, overlap, kind):
     assert "".join(text[new:end] for _, new, end in pieces) == text
     tail = 4 * min(overlap, size // 2)
     for start, new, end in pieces:
-        assert (end - start) // 4 <= size and new - start == (min(tail, new) if len(pieces) > 1 else 0)
+        assert (end - start) // 4 <= size and 0 <= new - start <= (tail if len(pieces) > 1 else 0)
+        widest = max(0, new - tail) if len(pieces) > 1 else new  # the overlap starts at a word, unless it is inside one
+        assert start == widest or text[start - 1].isspace() and not text[widest:start].isspace() or not text[start:new]
+        assert start == 0 or start == new or text[start - 1].isspace() or not re.search(r"\s", text[start:new].rstrip()) or start == widest
 
 
 def test_cuts_prefer_natural_boundaries():
@@ -114,6 +117,18 @@ def test_small_summaries_are_exact_in_any_order(values, parts):
         assert np.isclose(total.quantile(q), np.quantile(values, q))
 
 
+def test_sides_go_on_where_a_summary_was_stored():
+    def taken(store):
+        total = percentiles.Buffers()
+        for part in np.split(np.arange(8.0 * percentiles.K), 8):
+            total.add(part)
+            total = percentiles.Buffers.of(total.rows()) if store else total
+        return total
+
+    a, b = taken(False), taken(True)
+    assert {k for k, v in a.odd.items() if v} == set(b.odd) and all((a.levels[k] == b.levels[k]).all() for k in a.levels) and a.n == b.n
+
+
 def test_rank_error_is_bounded():
     values = np.random.default_rng(1).lognormal(3, 2, 400_000)
     total = percentiles.Buffers()
@@ -155,6 +170,22 @@ def test_places_hold_the_segments(text):
     assert [language.JOIN.sub("", text[a:b]) for a, b in at] == [s.strip() for s in language.segments(text)]
 
 
+def test_long_segments_have_exact_code_lengths(monkeypatch):
+    model = language.Model([("en", t) for t in EN] + [("es", t) for t in ES])
+    texts = [language.fold(" ".join(EN * 30)), language.fold("x" * 405 + EN[0] * 20), b"ab", b""]
+    pieces = model.score(texts)
+    monkeypatch.setattr(language, "PIECE", 1 << 30)
+    assert np.allclose(pieces, model.score(texts), rtol=1e-5)
+
+
+def test_table_of_contexts_stays_within_its_bound(monkeypatch):
+    whole = language.Model([("en", t) for t in EN])
+    monkeypatch.setattr(language, "TABLE_BYTES", whole.bits.nbytes // 2)
+    model = language.Model([("en", t) for t in EN])
+    assert model.bits.nbytes <= whole.bits.nbytes // 2
+    assert np.allclose(np.exp2(-model.bits.reshape(-1, model.size, 1).astype(float)).sum(1), 1, atol=1e-3)
+
+
 def test_code_lengths_are_probabilities():
     model = language.Model([("en", t) for t in EN])
     total = np.exp2(-model.bits.reshape(-1, model.size, 1).astype(float)).sum(1)
@@ -176,6 +207,13 @@ def test_learned_mapping_restores(codec):
     assert repair("refer�ncia")[0] and not repair("refer�ncia")[1]
 
 
+def test_any_number_and_length_of_pairs_votes():
+    long = "é" * 61
+    many = [(encoding.read_wrong(chr(0x400 + i % 200), "cp1252") + "Ã" * (i // 200), chr(0x400 + i % 200), 1) for i in range(20_001)]
+    mapping = encoding.learn([*many, (encoding.read_wrong(long, "cp437"), long, 1), *((encoding.read_wrong(c, "cp437"), c, 1) for c in "ñü")])
+    assert mapping[encoding.read_wrong("ö", "cp437")] == "ö" and mapping[encoding.read_wrong("ж", "cp1252")] == "ж"
+
+
 def test_numeric_references():
     repair = encoding.Repair(encoding.learn([(encoding.read_wrong(c, "cp1252"), c, 5) for c in "éóíñ"]))
     assert repair("reuni&#195;&#179;n")[2] == "reunión" and not repair("caf&#233;")[0]
@@ -183,7 +221,8 @@ def test_numeric_references():
 
 def test_scan_helpers():
     assert scan_noise.uncut("ware-\nhouse, x - \nY, end-\n") == "warehouse, x - \nY, end-\n"
-    assert ("about", True) in scan_noise.readings("ab0ut") and ("because", False) in scan_noise.readings("becaiise") and ("paper", False) in scan_noise.readings("papcr")
+    assert scan_noise.reading("ab0ut", "about") is True and scan_noise.reading("becaiise", "because") is False and scan_noise.reading("papcr", "paper") is False
+    assert scan_noise.reading("paper", "table") is None and scan_noise.reading("c|oud", "cloud") is True
     for line in ("- 12 -", "Page 3 of 9", "iv", "[114]", "Seite 1", "p. 2"):
         assert scan_noise.is_number(line), line
     for line in ("3.", "2025", "Scope", "sala", "40 since the last inspection"):
@@ -193,6 +232,36 @@ def test_scan_helpers():
     assert out == "The warehouse is about full.\n\nNext."
 
 
+def test_every_reading_shares_a_stroke_key_and_is_found():
+    """Brute force: all words that signs and at most two edits of letters can make, without any bound on their number."""
+    for word in ("clerk", "c1ini|l", "vvinning", "ruin", "groß", "m1n1|nuum", "x" * 50 + "rn1l"):
+        forms = {""}
+        for c in word:
+            forms = {f + o for f in forms for o in ((c, *scan_noise.SIGNS[c]) if c == "ß" else scan_noise.SIGNS.get(c, (c,)))}
+        forms = {f for f in forms if not scan_noise.ODD.search(f)}
+        assert all(scan_noise.reading(word, f) is True for f in forms - {word})
+        layer = set(forms)
+        for _ in range(2):
+            layer = {b[:i] + o + b[i + w :] for b in layer for i in range(len(b)) for w in (1, 2) for o in scan_noise.LETTERS.get(b[i : i + w], ()) if len(b[i : i + w]) == w}
+            for f in list(layer)[:400]:
+                assert f == word or scan_noise.reading(word, f) is not None, (word, f)
+                assert f.translate(scan_noise.STROKES) in scan_noise.keys(word)
+
+
+def test_long_words_and_two_running_lines():
+    assert scan_noise.suspicious("a" * 41 + "0" + "b" * 20)
+    found, _ = scan_noise.edges("ANNUAL NOTES OF THE HARBOUR " * 5 + "\nSection of the pilots\n\nBody text.\n")
+    assert [depth for *_, depth in found] == [0, 1] and len(found[0][0]) > 110
+
+
+def test_further_vectors_under_learned_contexts():
+    counts = np.zeros((4, 4))
+    counts[0, 1] = counts[1, 0] = counts[2, 3] = counts[3, 2] = 500
+    _, c = scan_noise.skip_gram(counts)
+    (v,) = scan_noise.fold_in(np.array([[0, 40, 0, 0]]), c, counts.sum(0))
+    assert v @ c[1] > 0 > v @ c[3]
+
+
 def test_vectors_prefer_seen_neighbours():
     counts = np.zeros((4, 4))
     counts[0, 1] = counts[1, 0] = counts[2, 3] = counts[3, 2] = 500
@@ -216,7 +285,9 @@ def test_stuffed_messages(labeller):
     links = "\n".join(f"{r.choice(words)} {r.choice(words)}: https://{r.choice(words)}.test/p/{i}" for i in range(20))
     for body in (EN[0] + "\n" + tags, EN[0] + "\n" + links, "\n".join("#" + w for w in words * 9)):
         share, n, _ = labeller.judge(message(body))
-        assert share > spam.LEAST_SHARE and n >= spam.LEAST_WORDS, body[:40]
+        assert share > spam.LEAST_SHARE and n > 0, body[:40]
+    short = "cheap shoes deal cheap price shoes cheap deal"  # eight words
+    assert labeller.judge(message(", ".join(short.split())))[0] > spam.LEAST_SHARE
     prose = "\n".join(f"{a} {b}\n  https://x.example/{i}" for i, (a, b) in enumerate(zip(EN * 2, EN[::-1] * 2)))
     assert labeller.judge(message(prose))[0] < 0.4
     for nothing in (None, "", " \n"):
@@ -232,37 +303,62 @@ def test_own_text():
     assert "u.test" in spam.own_text(message("<div><a href='http://u.test'>cheap</a></div>")) and spam.own_text("no headers here") == "no headers here"
 
 
+def test_own_text_of_nested_and_several_parts():
+    deep = "words"
+    for i in range(6):
+        kind = f'Content-Type: multipart/mixed; boundary="b{i - 1}"' if i else "Content-Type: text/plain"
+        deep = f"--b{i}\n{kind}\n\n{deep}\n--b{i}--\n"
+    assert spam.own_text(message(deep, Content_Type='multipart/mixed; boundary="b5"')).strip() == "words"
+    two = '--x\nContent-Type: text/plain\n\nfirst\n--x\nContent-Type: text/plain\n\nsecond\n--x\nContent-Type: text/plain\nContent-Disposition: attachment\n\nfile\n--x--\n'
+    assert spam.own_text(message(two, Content_Type='multipart/mixed; boundary="x"')).split() == ["first", "second"]
+    note = "This message is meant for its reader. " * 30
+    assert spam.own_text(message(f"new\n\n***\n{note}")).strip() == "new"
+
+
 @pytest.fixture(scope="module")
 def finder():
     from docmill.llm import personal, personal_samples
 
     lexicon = [("Ada", "given"), ("Marta", "given"), ("Owen", "given"), ("Luc", "given"), ("Stone", "family"), ("Quillfast", "family"), ("Barrolla", "family"), ("Montserel", "family")]
     before, personal.TRAINING_LINES = personal.TRAINING_LINES, 4000
-    made = personal.opened(personal.train(lexicon, EN * 5 + ES * 5))
+    made = personal.opened(personal.train(lexicon, EN * 5 + ES * 5, "fit"))
     personal.TRAINING_LINES = before
-    return made, personal_samples.Composer(lexicon, EN + ES, seed=77)
+    return made, personal_samples.Composer(lexicon, EN + ES, seed=77, part="held_out")
 
 
-def test_personal_held_out(finder):
+def test_personal_on_labels_and_passages_not_fitted(finder):
     find, composer = finder
-    lines = [composer.line() for _ in range(900)]
-    _, found = find.find([text for text, _ in lines])
-    good = sum({k for *_, k in truth} == {s[2] for s in spans} for (_, truth), spans in zip(lines, found))
-    assert good >= 0.93 * len(lines)
+    lines = [composer.line() for _ in range(1200)]
+    found = find.find([text for text, _ in lines])
+    for kind in ("email", "phone", "id_number", "address", "name"):
+        true = [i for i, (_, truth) in enumerate(lines) if truth and truth[0][2] == kind]
+        seen = [i for i, spans in enumerate(found) if any(s[2] == kind for s in spans)]
+        both = set(true) & set(seen)
+        assert len(both) >= 0.75 * len(true) and len(both) >= 0.7 * len(seen), (kind, len(true), len(seen), len(both))
 
 
 def test_redaction_keeps_the_rest(finder):
     from docmill.llm.personal import redact
 
     find, _ = finder
-    text = "Prepared by: Marta Barrolla\nE-mail owen.stone (at) desk (dot) example\nCall +34 600 555 703 today. Order 558-29 replaced 19/243. [EMAIL]"
-    plain, found = find.find([text, None, "", "sÃ­ info@x.example"])
-    out = redact(plain[0], found[0])
-    assert out.startswith("Prepared by: [NAME]\nE-mail [EMAIL]\nCall [PHONE] today. Order 558-29") and out.endswith("[EMAIL]")
-    assert found[1] == found[2] == [] and plain[3].startswith("sí") and [s[2] for s in found[3]] == ["email"]
+    text = "Name: Marta Barrolla\nE-mail owen.stone (at) desk (dot) example\nCall +34 600 555 703 today. Order 558-29. [EMAIL]"
+    garbled = "sÃ­, cafÃ© &#195;&#169; info@x.example maÃ±ana, MÃ¼ller@x.example"
+    found = find.find([text, None, "", garbled])
+    out = redact(text, found[0])
+    assert out.startswith("Name: [NAME]\nE-mail [EMAIL]\nCall [PHONE] today. Order 558-29") and out.endswith("[EMAIL]")
+    assert found[1] == found[2] == [] and redact(garbled, found[3]) == "sÃ­, cafÃ© &#195;&#169; [EMAIL] maÃ±ana, [EMAIL]"
     assert all(re.fullmatch(r"[a-z_]+", s[2]) for s in found[0])
 
 
+def test_values_longer_than_the_windows():
+    from docmill.llm import personal
+
+    words = personal.Words([], [])
+    street = "Calle de Quinmenralgarbertolandrasquintorvalmenral Ferralgarbertolandrasquin 12, 00123 Garbertolandrasquintorvalmenralgarber Ferralgarbertolandras"
+    found = personal.candidates(f"He lives at {street}.", words)
+    assert any(k == "address" and b - a == len(street) for a, b, k in found)
+
+
 def test_candidates_in_rarer_spellings():
     from docmill.llm import personal
 

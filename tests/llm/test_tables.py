@@ -70,9 +70,8 @@ def test_token_tables_agree(spark, small):
     ids = {r["doc_id"]: r["ids"] for r in QUERIES["p8_ids"](spark, small).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     assert all(v == [] for k, v in ids.items() if not texts[k]) and len(ids) == len(texts)
-    items = docs.select(docs["doc_id"].alias("item"), "text")
     for hot in (1, 100_000):
-        counted = {r["item"]: r["n_tokens"] for r in tokens.item_tokens(items, hot_pieces=hot).collect()}
+        counted = {r["doc_id"]: r["n_tokens"] for r in tokens.text_tokens(docs.select("doc_id", "text"), hot_pieces=hot).collect()}
         assert counted == {k: len(v) for k, v in ids.items()}
     back = tokens.decode_ids(QUERIES["p8_ids"](spark, small), "doc_id").collect()
     assert all(r["text"] == (texts[r["doc_id"]] or "") for r in back)
@@ -89,6 +88,71 @@ def test_token_tables_agree(spark, small):
     assert budget["n_tokens"].sum() == sum(map(len, ids.values())) and budget["n_items"].sum() == len(ids)
 
 
+def test_token_totals_stand_when_splits_change(spark, small):
+    """The budget is built under one split of the input and read under another."""
+    build = QUERIES["p6_token_budget"]
+    expected = sorted(map(str, build(spark, small).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        budget = build(spark, small)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        assert sorted(map(str, budget.collect())) == expected
+        assert sorted(map(str, build(spark, small).collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_budget_equals_a_count_of_every_text(spark, small):
+    from collections import Counter
+
+    ids = pytest.importorskip("public_tokenizers") and tokens.encoder(tokens.vocabulary(spark).value)
+    jobs = {}
+    for r in sorted(spark.read.parquet(f"{small}/jobs.parquet").collect(), key=lambda r: r["loaded_at"]):
+        jobs[r["id"]] = r
+    kinds = {r["id"]: r["kind"] for r in spark.read.parquet(f"{small}/uploads.parquet").collect()}
+    pages = {(r["job_id"], r["page_key"]): ids.count(r["text"]) for r in spark.read.parquet(f"{small}/page_results.parquet").collect()}
+    per_job = Counter()
+    for (job, _), n in pages.items():
+        per_job[job] += n
+    total = Counter()
+    for job, n in per_job.items():
+        if job in jobs and jobs[job]["status"] == "SUCCEEDED" and jobs[job]["cached_from_job_id"] is None:
+            total[kinds.get(jobs[job]["document_id"])] += n
+    found = Counter()
+    for r in QUERIES["p6_token_budget"](spark, small).filter("scope = 'job'").collect():
+        found[r["kind"]] += r["n_tokens"]
+    assert found == total
+
+
+def test_ranking_is_bounded(spark):
+    from docmill.llm.ranking import collected, drawn, most_frequent
+
+    counts = spark.createDataFrame([(f"w{i}", 1 + i) for i in range(1000)], "word string, n long").repartition(7)
+    top = {r["n"] for r in most_frequent(counts, "n", 100).collect()}
+    assert 50 <= len(top) <= 100 and min(top) > 1000 - len(top)
+    assert most_frequent(counts, "n", 5000).count() == 1000 and most_frequent(counts.limit(0), "n", 5).count() == 0
+    with pytest.raises(ValueError):
+        collected(counts, 999, "words")
+    rows = spark.createDataFrame([(lang, f"text {i}") for lang in ("en", "zu") for i in range(5001)], "lang string, text string")
+    assert {r["lang"]: r["count"] for r in drawn(rows, "lang", "text", 1000).groupBy("lang").count().collect()} == {"en": 1000, "zu": 1000}
+
+
+def test_floor_of_limits_loses_nothing(spark, small):
+    from docmill.llm import split
+
+    tables = [spark.read.parquet(f"{small}/{t}.parquet") for t in ("blocks", "chunks", "jobs")]
+    every = [sorted((r["src"], r["rec_key"], r["piece_no"]) for r in split.split_items(split.sized_items(*tables, buckets=n)).collect()) for n in (1, 7, split.BUCKETS)]
+    assert every[0] == every[1] == every[2] != []
+
+
+def test_a_tree_of_many_summaries_is_one_summary(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "FAN", 3)
+    df = spark.createDataFrame([("q", None if i % 50 == 0 else f"d{i % 40}", float(i)) for i in range(9000)], "queue string, day string, x double").repartition(40)
+    daily = percentiles.summaries(df, ["queue", "day"], "x")
+    whole = percentiles.quantiles(percentiles.merge_summaries(daily, ["queue"]), {"p50": 0.5}).collect()
+    assert daily.count() == 41 and len(whole) == 1 and whole[0]["n"] == 9000 and abs(whole[0]["p50"] - 4499.5) <= whole[0]["rank_error"] + 1
+
+
 def test_daily_summaries_merge_into_whole(spark):
     rows = [("q", f"d{i % 7}", float(i % 997)) for i in range(5000)] + [("q", "d0", float("nan")), ("q", "d0", None), ("q", "d0", float("inf"))]
     df = spark.createDataFrame(rows, "queue string, day string, x double").repartition(5)
