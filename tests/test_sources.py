@@ -66,7 +66,7 @@ def test_readers():
     assert md(pptx(), "a.pptx") == ["above\n\nbelow", "second"]
     assert md(xlsx(), "a.xlsx") == ["## Sales\n\n| head |  | 3 |\n|---|---|---|\n| in |  |  |"]
     mail = md(eml(), "m.eml")
-    assert mail[0].startswith("# Invoice") and "| From | ana@ex.org |" in mail[0] and "tool.exe" in mail[0] and "not processed" in mail[0] and "| item | qty |" in mail[1]
+    assert mail[0].startswith("# Invoice") and "| From | ana@ex.org |" in mail[0] and "tool.exe" in mail[0] and "skipped" in mail[0] and "| item | qty |" in mail[1]
     assert md(b"{\\rtf1{\\fonttbl{\\f0 Arial;}}The \\b pipeline\\b0  is ready\\'21\\par Next}", "a.rtf") == ["The pipeline is ready!\nNext"]
     assert "é" in md("café crème déjà vu où".encode("latin-1") * 9, "a.txt")[0]
 
