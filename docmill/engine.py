@@ -2,41 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import entities, text
-from docmill.operators import analytics, chunking, documents
+from docmill.operators import analytics, chunking, documents, results, transitions
 from docmill.operators.current import current_jobs
-from docmill.session import table
+from docmill.schemas import TABLES, conformed
+from docmill.session import cut_lineage, table
 from docmill.sources import extract, files, formats
 
-MODES, PIPELINES = ("auto", "force", "off"), ("standard", "layout")
+MODES, PIPELINES, ENGINES = ("auto", "force", "off"), ("standard", "layout"), ("rapidocr", "tesseract")
 
 
 class InvalidOptions(ValueError):
     """Options that no job accepts."""
 
 
-def check_options(language: str | None = None, ocr_mode: str = "auto", chunk_size_tokens: int = 512, chunk_overlap_tokens: int = 64, pipeline: str = "standard") -> dict:
+class Refused(RuntimeError):
+    """A request that a job's state doesn't allow; its text is the code."""
+
+
+def check_options(language: str | None = None, ocr_mode: str = "auto", chunk_size_tokens: int = 512, chunk_overlap_tokens: int = 64, pipeline: str = "standard", ocr_engine: str | None = None, extract_entities: bool = True) -> dict:
     """Validated options of a job; languages may be joined by commas."""
     if ocr_mode not in MODES or pipeline not in PIPELINES:
         raise InvalidOptions(f"ocr_mode is one of {MODES}, pipeline one of {PIPELINES}")
+    if ocr_engine is not None and ocr_engine not in ENGINES:
+        raise InvalidOptions(f"ocr_engine is one of {ENGINES}")
     if not 64 <= chunk_size_tokens <= 4096 or not 0 <= chunk_overlap_tokens <= 1024 or chunk_overlap_tokens >= chunk_size_tokens:
         raise InvalidOptions("chunk size is 64 to 4096, overlap 0 to 1024 and below the size")
-    return {"language": language.replace(",", "+") if language else None, "ocr_mode": ocr_mode, "chunk_size_tokens": chunk_size_tokens, "chunk_overlap_tokens": chunk_overlap_tokens, "pipeline": pipeline}
+    return {"language": language.replace(",", "+") if language else None, "ocr_mode": ocr_mode, "ocr_engine": ocr_engine, "extract_entities": extract_entities, "chunk_size_tokens": chunk_size_tokens, "chunk_overlap_tokens": chunk_overlap_tokens, "pipeline": pipeline}
+
+
+class UnknownJob(KeyError):
+    """No job has this id."""
 
 
 class Engine:
-    """Reads the tables of ``base``; every method returns a lazy DataFrame."""
+    """Reads the tables of ``base``. Methods return lazy DataFrames; those that change jobs return what is to be appended,
+    and :meth:`commit` appends it."""
 
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base
 
     def table(self, name: str) -> DataFrame:
-        return table(self.spark, self.base, name)
+        df = table(self.spark, self.base, name)
+        return conformed(df, name) if name in TABLES else df
 
     def current(self) -> DataFrame:
         jobs = self.table("jobs")
@@ -46,7 +60,9 @@ class Engine:
         return analytics.newest_page(analytics.list_jobs(self.current(), self.table("uploads"), status, kind, client_reference, q), limit, offset)
 
     def job(self, id_: str) -> DataFrame:
-        return analytics.job_listing(self.current().filter(F.col("id") == id_))
+        """One job as the listing shows it, with its position in its queue while it waits there."""
+        now = self.current()
+        return analytics.job_listing(now.filter(F.col("id") == id_)).join(analytics.queue_position(now).filter(F.col("id") == id_).select("id", "position"), "id", "left")
 
     def events(self, job_id: str) -> DataFrame:
         return self.table("job_events").filter(F.col("job_id") == job_id).distinct().orderBy("id")
@@ -57,8 +73,46 @@ class Engine:
     def markdown(self, job_id: str) -> DataFrame:
         return documents.document_markdown(self.table("page_results").filter(F.col("job_id") == job_id))
 
-    def chunks(self, job_id: str) -> DataFrame:
-        return self.table("chunks").filter(F.col("job_id") == job_id).distinct().orderBy("chunk_index")
+    def chunks(self, job_id: str, form: str = "rows") -> DataFrame:
+        """The chunks in order, as rows or as one JSON line each (``jsonl``)."""
+        found = self.table("chunks").filter(F.col("job_id") == job_id).distinct().orderBy("chunk_index")
+        return found.select(files.result_json("job_id", *[c for c in found.columns if c != "job_id"]).alias("line")) if form == "jsonl" else found
+
+    def result(self, job_id: str, text: bool = True, pages: bool = True, chunks: bool = False) -> DataFrame:
+        """One row with what was asked for; ``error`` says why a job has no result yet, or none at all."""
+        whole = results.job_results(self.current().filter(F.col("id") == job_id), *(self.table(t).filter(F.col("job_id") == job_id) for t in ("page_results", "chunks")))
+        return analytics.shaped_result(whole, text, pages, chunks)
+
+    def original(self, job_id: str) -> DataFrame:
+        """(key, original_filename, mime_type, download_name) of the stored file of a job."""
+        return results.originals(self.current().filter(F.col("id") == job_id), self.table("uploads"))
+
+    def _asked(self, job_id: str) -> DataFrame:
+        return self.spark.createDataFrame([(job_id,)], "job_id string")
+
+    def cancel(self, job_id: str, now: datetime) -> transitions.Change:
+        return self._checked("cancel", transitions.cancel, job_id, now)
+
+    def retry(self, job_id: str, now: datetime) -> transitions.Change:
+        return self._checked("retry", transitions.retry, job_id, now)
+
+    def _checked(self, action: str, make: Callable, job_id: str, now: datetime) -> transitions.Change:
+        job = self.current().filter(F.col("id") == job_id)
+        row = job.select(transitions.refusal(action, F.col("status")).alias("why")).first()
+        if row is None:
+            raise UnknownJob(job_id)
+        if row["why"] is not None:
+            raise Refused(row["why"])
+        return make(job, self._asked(job_id), F.lit(now).cast("timestamp"))
+
+    def recover(self, broker: DataFrame, now: datetime) -> transitions.Change:
+        return transitions.recover(self.current(), broker, F.lit(now).cast("timestamp"))
+
+    def commit(self, made: transitions.Change) -> None:
+        """Append snapshots and events; both are read completely before either table grows."""
+        jobs, events = cut_lineage(conformed(made.jobs, "jobs")), cut_lineage(conformed(made.events, "job_events"))
+        files.append_events(events, f"{self.base}/job_events.parquet")
+        files.append_events(jobs, f"{self.base}/jobs.parquet")
 
     def formats(self) -> DataFrame:
         return formats.formats_table(self.spark)

@@ -73,7 +73,7 @@ def from_lines(text: str) -> str:
 
 def from_plain(text: str) -> str:
     """Plain text whose lines must not turn into headings, quotes or rules."""
-    return from_lines(re.sub(r"(?m)^(\s*)(?=#|>|={3}|-{3})", r"\1\\", text))
+    return from_lines(re.sub(r"(?m)^(\s*)([#>]|={3,}|-{3,})", r"\1\\\2", text))
 
 
 def code_block(text: str, language: str = "") -> str:

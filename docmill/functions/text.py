@@ -106,6 +106,13 @@ def extension(column: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"[^.](\.[^.]*)$", 1))
 
 
+def download_name(column: Column) -> Column:
+    """A file name's stem without its folder and extension and with ASCII characters alone, or ``document``."""
+    stem = F.regexp_replace(F.regexp_extract(column, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    bare = F.replace(F.regexp_replace(stem, r"[^\x00-\x7f]", ""), F.lit('"'), F.lit(""))
+    return F.when(bare == "", "document").otherwise(bare)
+
+
 def document_key(sha256: Column, ext: Column) -> Column:
     """Content address of a stored document."""
     return F.concat(F.lit("sha256/"), F.substring(sha256, 1, 2), F.lit("/"), sha256, F.coalesce(ext, F.lit("")))

@@ -21,21 +21,28 @@ def ordered(*columns: Column) -> Column:
     return F.sort_array(F.collect_list(F.struct(*columns)))
 
 
+def pages_of(number: Column, body: Column) -> Column:
+    """A job's pages in order, each number once with its greatest body: repeated rows are dropped inside the array, so
+    texts are shuffled by job alone."""
+    found = F.sort_array(F.collect_set(F.struct(number.alias("number"), body.alias("body"))))
+    return F.filter(found, lambda p, i: ~F.coalesce(F.get(found, i + 1)["number"].eqNullSafe(p["number"]) & (i + 1 < F.size(found)), F.lit(False)))
+
+
 def document_texts(pages: DataFrame) -> DataFrame:
-    """(job_id, n_pages, text): non-null texts of a job's pages in page order, joined by the page break; a page that is
-    stored repeatedly counts once. Texts meet only in this last step; nothing else carries them through a shuffle."""
-    once = pages.groupBy("job_id", "number").agg(F.max("text").alias("text"))
-    parts = once.groupBy("job_id").agg(F.count("*").alias("n_pages"), ordered(F.col("number"), F.coalesce("text", F.lit("")).alias("text")).alias("parts"))
-    return parts.select("job_id", "n_pages", F.array_join(F.transform("parts", lambda p: p["text"]), PAGE_BREAK).alias("text"))
+    """(job_id, n_pages, text): texts of a job's pages in page order, joined by the page break; a page that is stored
+    repeatedly counts once. One shuffle."""
+    parts = pages.groupBy("job_id").agg(pages_of(F.col("number"), F.col("text")).alias("parts"))
+    return parts.select("job_id", F.size("parts").cast("long").alias("n_pages"), F.array_join(F.transform("parts", lambda p: F.coalesce(p["body"], F.lit(""))), PAGE_BREAK).alias("text"))
 
 
 def document_markdown(pages: DataFrame, markdown: str | None = None) -> DataFrame:
-    """(job_id, n_pages, markdown): pages as Markdown, under page markers where there are several."""
+    """(job_id, n_pages, markdown): pages as Markdown, under page markers where there are several. One shuffle."""
     body = as_udf(from_lines)(F.col("text"))
     body = F.coalesce(F.col(markdown), body) if markdown else body
-    once = pages.withColumn("body", body).groupBy("job_id", "number").agg(F.max("body").alias("body"))
-    parts = once.groupBy("job_id").agg(F.count("*").alias("n_pages"), ordered(F.col("number"), F.coalesce("body", F.lit("")).alias("body")).alias("parts"))
-    marked = F.transform("parts", lambda p: F.when(F.col("n_pages") > 1, F.concat(F.lit("<!-- page: "), p["number"].cast("string"), F.lit(" -->\n\n"), p["body"])).otherwise(p["body"]))
+    shown = pages.select("job_id", "number", body.alias("body_"))
+    parts = shown.groupBy("job_id").agg(pages_of(F.col("number"), F.col("body_")).alias("parts")).withColumn("n_pages", F.size("parts").cast("long"))
+    text = lambda p: F.coalesce(p["body"], F.lit(""))
+    marked = F.transform("parts", lambda p: F.when(F.col("n_pages") > 1, F.concat(F.lit("<!-- page: "), p["number"].cast("string"), F.lit(" -->\n\n"), text(p))).otherwise(text(p)))
     return parts.select("job_id", "n_pages", T.normalize_markdown(F.array_join(marked, "\n\n")).alias("markdown"))
 
 
@@ -79,14 +86,19 @@ def line_offsets(lines: DataFrame, key: str, order: str, line: str) -> DataFrame
 
 
 def heading_paths(blocks: DataFrame) -> DataFrame:
-    """(job_id, block_index, path): titles of the open headings after each heading block, as a fold over the job's
-    headings: a heading closes those of its own and deeper levels."""
+    """(job_id, block_index, path): titles of the open headings after each heading block.
+
+    The last heading of each level is carried forward, and one is open where no heading of a lesser level came after it:
+    six running values in one sort of a job's headings, however many there are.
+    """
     heads = blocks.filter("kind = 'heading'").select("job_id", "block_index", "level", T.strip(F.regexp_replace("text", r"^#{1,6}\s+|\s*#*$", "")).alias("title")).distinct()
     window = Window.partitionBy("job_id").orderBy("block_index", "title").rowsBetween(Window.unboundedPreceding, 0)
-    held = heads.withColumn("all", F.collect_list(F.struct("level", "title")).over(window))
-    kind = "array<struct<level:int,title:string>>"
-    stack = F.aggregate("all", F.array().cast(kind), lambda open_, h: F.concat(F.filter(open_, lambda o: o["level"] < h["level"]), F.array(h)).cast(kind))
-    return held.select("job_id", "block_index", F.transform(stack, lambda o: o["title"]).alias("path"))
+    number = F.row_number().over(Window.partitionBy("job_id").orderBy("block_index", "title"))
+    held = heads.withColumn("at", number)
+    last = [F.last(F.when(F.col("level") == n, F.struct("at", "title")), ignorenulls=True).over(window).alias(f"h{n}") for n in range(1, 7)]
+    held = held.select("job_id", "block_index", "level", *last)
+    open_ = [F.when((F.col("level") >= n) & (F.col(f"h{n}.at") > F.greatest(F.lit(0), F.lit(0), *[F.coalesce(f"h{k}.at", F.lit(0)) for k in range(1, n)])), F.col(f"h{n}.title")) for n in range(1, 7)]
+    return held.select("job_id", "block_index", F.filter(F.array(*open_), lambda t: t.isNotNull()).alias("path"))
 
 
 def number_ranges(df: DataFrame, key: str, number: str) -> DataFrame:
@@ -99,11 +111,15 @@ def range_label(first: Column, last: Column) -> Column:
     return F.when(first == last, first.cast("string")).otherwise(F.concat(first.cast("string"), F.lit("-"), last.cast("string")))
 
 
-def largest_gap(df: DataFrame, key: str, low: str, high: str) -> DataFrame:
+def largest_gap(df: DataFrame, key: str, low: str, high: str, width: int) -> DataFrame:
     """(key, gap, cut) of the widest empty stretch between intervals; of equal ones the first; keys without one are left
-    out. One sort per key; the reach of the intervals before is a running maximum."""
-    before = Window.partitionBy(key).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
-    reach = df.select(key, low, high).withColumn("reach", F.max(high).over(before))
+    out. The reach of the intervals before is a running maximum over buckets of ``width`` and inside each bucket, so a
+    key with very many intervals is sorted in many tasks."""
+    cut = df.select(key, low, high).filter(F.col(low).isNotNull()).withColumn("part", F.floor(F.col(low) / width))
+    far = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = cut.groupBy(key, "part").agg(F.max(high).alias("own")).withColumn("earlier", F.max("own").over(far)).drop("own")
+    before = Window.partitionBy(key, "part").orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
+    reach = cut.withColumn("inside", F.max(high).over(before)).join(earlier, [key, "part"]).withColumn("reach", F.greatest("inside", "earlier"))
     gaps = reach.withColumn("gap", F.col(low) - F.col("reach")).filter("gap > 0")
     best = gaps.groupBy(key).agg(F.max(F.struct(F.col("gap"), (-F.col(low)).alias("o"), ((F.col(low) + F.col("reach")) / 2).alias("cut"))).alias("b"))
     return best.select(key, "b.gap", "b.cut")

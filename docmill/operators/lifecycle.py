@@ -35,8 +35,8 @@ def after_transient_failure(jobs: DataFrame) -> DataFrame:
 def to_redispatch(jobs: DataFrame, broker: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """Waiting jobs whose message is due and no longer in the broker (job_id): an anti join on distinct ids."""
     due = jobs.filter("status in ('QUEUED', 'RETRYING')").filter(F.col("last_dispatched_at").isNull() | (age("last_dispatched_at", now) > REDISPATCH)).filter(F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))
-    lost = due.join(broker.select(F.col("job_id").alias("id")).distinct(), "id", "left_anti").orderBy("created_at", "id")
-    return lost.limit(limit) if limit else lost
+    lost = due.join(broker.select(F.col("job_id").alias("id")).distinct(), "id", "left_anti")
+    return lost.orderBy("created_at", "id").limit(limit) if limit else lost
 
 
 def claimable(job_status: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,43 +10,13 @@ from docmill.functions import text as T
 from docmill.functions.markdown import as_udf, from_lines
 from docmill.functions.text import LETTER, SPACE
 from docmill.operators import analytics as A
-from docmill.operators import chunking, documents, layout, lifecycle, scoring
-from docmill.operators.current import current_jobs
-from docmill.session import table
+from docmill.operators import chunking, documents, lifecycle, scoring
+from docmill.plans.registry import AT, CUR, NOW, NOW_S, ORACLES, PG, QUERIES, RE_SPACE, SINCE, SINCE_S, TOOK, UP, WAIT, jobs_now, query, stamp
+from docmill.session import shared_folder, table
 from docmill.sources import formats
 from docmill.streaming import jobs as streams
 
-NOW, SINCE = "2026-08-22 00:00:00", "2026-08-19 00:00:00"
-NOW_S, SINCE_S = 1787356800, 1787097600
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(function: Callable) -> Callable:
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return add
-
-
-def jobs_now(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return current_jobs(table(spark, sf, "jobs"), *columns)
-
-
-def stamp(text: str):
-    return F.lit(text).cast("timestamp")
-
-
-CUR = "cur AS (SELECT * FROM jobs WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1)"
-UP = "up AS (SELECT id AS uid, max(kind) AS kind, max(sha256) AS sha256 FROM uploads GROUP BY id)"
-PG = "pg AS (SELECT job_id, number, max(text) AS text FROM page_results GROUP BY job_id, number)"
-AT = "TIMESTAMPTZ '{}+00'"
-EPOCH = "(epoch_us({}) - epoch_us({})) / 1e6"
-WAIT, TOOK = EPOCH.format("started_at", "created_at"), EPOCH.format("finished_at", "started_at")
-RE_SPACE = SPACE.replace("'", "''")
+__all__ = ["ORACLES", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,17 +61,30 @@ def doc_overlap_tail(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.tail(F.col("text"), 64)).alias("tail"))
 
 
+#: The entity forms once more for an engine without lookaround: white space is folded to spaces and letters beyond ASCII to
+#: one letter, so that ASCII boundaries are those of words; before a phone number a mark stands for "no word character".
+FOLDED = f"regexp_replace(regexp_replace(text, '[{RE_SPACE}]', ' ', 'g'), '[^\\x00-\\x7f\\P{{L}}]|[^\\x00-\\x7f\\P{{N}}]', 'q', 'g')"
+MARKING = "regexp_replace({}, '(^|[^0-9A-Za-z_\\x01])([(+0-9])', '\\1' || chr(1) || '\\2', 'g')"
+MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|ene|abr|ago|dic"
+ENTITY_SQL = {
+    "emails": ("text", f"[{LETTER}][{LETTER}.+-]*@[{LETTER}-]+(?:\\.[{LETTER}-]+)*\\.[{LETTER}-]*[{LETTER}]"),
+    "urls": (f"regexp_replace(text, '([{LETTER}])((?i:https?)://)', '\\1', 'g')", f"(?i)https?://[^{RE_SPACE}<>()\"'']+"),
+    "dates": (FOLDED, f"(?i)\\b(?:\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}[/.-]\\d{{1,2}}[/.-]\\d{{2,4}}|\\d{{1,2}} +(?:de +)?(?:{MONTH})[a-z]*\\.?(?: +(?:de +)?\\d{{4}})?)\\b"),
+    "amounts": (FOLDED, "(?i)(?:(?:US\\$|MX\\$|\\$|€|£) ?\\d[\\d,.]*\\d|\\b\\d[\\d,.]*\\d ?(?:USD|MXN|EUR|€|pesos|dollars)\\b)"),
+    "phone_numbers": (MARKING.format(MARKING.format(FOLDED)), "\\x01(?:(?:\\+\\x01*\\d{1,3}[ .-]?)?(?:\\x01*\\(\\x01*\\d{2,3}\\)[ .-]?)?\\x01*\\d{2,4}[ .-]\\x01*\\d{3,4}[ .-]\\x01*\\d{3,4}|\\+\\x01*\\d{11,13})\\b"),
+}
+
+
 def entity_query(kind: str, source: str, key: str) -> None:
-    pattern, group = E.PATTERNS[kind]
-    escaped = pattern.replace("'", "''")
-    sql = f"""WITH p AS (SELECT {key}, max(text) AS text FROM {source} GROUP BY {key}), m AS (SELECT {key}, unnest(regexp_extract_all(text, '{escaped}', {group})) AS raw, generate_subscripts(regexp_extract_all(text, '{escaped}', {group}), 1) AS i FROM p),
-      v AS (SELECT {key}, regexp_replace(trim(raw), '[.,;:]+$', '') AS v, min(i) AS i FROM m GROUP BY ALL)
+    text, pattern = ENTITY_SQL[kind]
+    sql = f"""WITH p AS (SELECT {key}, max(text) AS text FROM {source} GROUP BY {key}), f AS (SELECT {key}, regexp_extract_all({text}, '{pattern}') AS raws FROM p), m AS (SELECT {key}, unnest(raws) AS raw, generate_subscripts(raws, 1) AS i FROM f),
+      v AS (SELECT {key}, regexp_replace(trim(replace(regexp_replace(raw, '[{RE_SPACE}]', ' ', 'g'), chr(1), '')), '[.,;:]+$', '') AS v, min(i) AS i FROM m GROUP BY ALL)
       SELECT {key}, string_agg(v, ' ¦ ' ORDER BY i) AS found FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY i) <= {E.MOST}) GROUP BY {key}"""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        once = table(spark, sf, source).groupBy(key).agg(F.max("text").alias("text"))
-        found = once.select(key, E.entities(F.col("text"), kind).alias("v")).filter(F.size("v") > 0)
-        return found.select(key, F.array_join("v", " ¦ ").alias("found"))
+        """Found in the scan; of repeated rows the few values are compared, not the texts."""
+        found = table(spark, sf, source).select(key, E.entities(F.col("text"), kind).alias("v")).filter(F.size("v") > 0)
+        return found.select(key, F.regexp_replace(F.array_join("v", " ¦ "), f"[{SPACE}]", " ").alias("found")).distinct()
 
     run.__name__ = f"entity_{kind}"
     query(sql)(run)
@@ -137,29 +117,6 @@ def document_texts(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("job_id", "n_pages", F.md5("text").alias("digest"))
 
 
-@query()
-def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole documents as Markdown, chunked with the options of their job's current row."""
-    marked = documents.document_markdown(table(spark, sf, "page_results"))
-    sizes = jobs_now(spark, sf, F.col("options.chunk_size_tokens").alias("size"), F.col("options.chunk_overlap_tokens").alias("overlap"))
-    both = marked.join(sizes, marked["job_id"] == sizes["id"], "left")
-    return chunking.chunk_documents(both, "job_id", "markdown", F.col("size"), F.col("overlap"))
-
-
-@query()
-def document_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.document_markdown(table(spark, sf, "page_results")).select("job_id", F.inline(chunking.parse_blocks("markdown")))
-
-
-@query(r"""WITH b AS (SELECT block_key, max(text) AS text FROM blocks GROUP BY block_key),
- h AS (SELECT block_key, len(regexp_extract_all(text, '(?m)^(#{1,6})[ \t]+(.+)$')) AS n, list_max(list_transform(regexp_extract_all(text, '(?m)^(#{1,6})[ \t]+(.+)$', 1), lambda x: length(x))) AS deepest FROM b)
-SELECT block_key, n AS headings, deepest FROM h WHERE n > 0""")
-def block_outline(spark: SparkSession, sf: str) -> DataFrame:
-    once = table(spark, sf, "blocks").groupBy("block_key").agg(F.max("text").alias("text"))
-    found = once.select("block_key", documents.outline(F.col("text")).alias("o")).filter(F.size("o") > 0)
-    return found.select("block_key", F.size("o").cast("long").alias("headings"), F.array_max(F.transform("o", lambda h: h["level"])).cast("long").alias("deepest"))
-
-
 @query(r"""SELECT block_key, len(regexp_extract_all(max(text), '(?m)^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$')) AS tables FROM blocks GROUP BY block_key""")
 def block_tables(spark: SparkSession, sf: str) -> DataFrame:
     once = table(spark, sf, "blocks").groupBy("block_key").agg(F.max("text").alias("text"))
@@ -173,12 +130,6 @@ def block_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return documents.line_offsets(b, "job_id", "o", "text").select("job_id", "block_index", "char_start", F.length("text").cast("long").alias("n"))
 
 
-@query()
-def block_heading_paths(spark: SparkSession, sf: str) -> DataFrame:
-    paths = documents.heading_paths(table(spark, sf, "blocks"))
-    return paths.select("job_id", "block_index", F.array_join("path", " / ").alias("path"))
-
-
 @query(f"""WITH {PG}, m AS (SELECT job_id, number, min(method) AS method, max(ocr_confidence) AS c FROM page_results GROUP BY job_id, number)
 SELECT coalesce(method, 'unknown') AS method, count(*) AS pages, round(avg(c), 4) AS mean_confidence FROM m GROUP BY 1""")
 def pages_by_method(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,15 +151,7 @@ def worker_idle_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """The longest idle stretch of each worker."""
     runs = jobs_now(spark, sf, "worker_id", "started_at", "finished_at").filter("worker_id is not null and started_at is not null and finished_at is not null")
     micros = runs.select("worker_id", F.unix_micros("started_at").alias("a"), F.unix_micros("finished_at").alias("b"))
-    return documents.largest_gap(micros, "worker_id", "a", "b").select("worker_id", "gap")
-
-
-@query()
-def page_reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as boxes of a monospaced layout, put in reading order by recursive cuts."""
-    once = table(spark, sf, "page_results").groupBy("page_key").agg(F.max("text").alias("text")).filter("text is not null")
-    boxes = once.select("page_key", layout.boxes_of_text("text").alias("boxes"))
-    return boxes.select("page_key", F.size("boxes").alias("n_boxes"), layout.page_reading_order("boxes").alias("text"))
+    return documents.largest_gap(micros, "worker_id", "a", "b", 3_600_000_000).select("worker_id", "gap")
 
 
 # ------------------------------------------------------------------ jobs
@@ -219,7 +162,7 @@ def status_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return A.status_histogram(jobs_now(spark, sf, "status"))
 
 
-@query(f"""WITH {CUR}, w AS (SELECT *, CASE WHEN started_at >= created_at THEN {WAIT} END AS wait, {TOOK} AS took FROM cur WHERE created_at >= {AT.format(SINCE)})
+@query(f"""WITH {CUR}, w AS (SELECT *, {WAIT} AS wait, {TOOK} AS took FROM cur WHERE created_at >= {AT.format(SINCE)})
 SELECT count(*) AS created, count(*) FILTER (WHERE status = 'SUCCEEDED') AS succeeded, count(*) FILTER (WHERE status = 'FAILED') AS failed, count(cached_from_job_id) AS cache_hits,
  round(avg(wait) FILTER (WHERE cached_from_job_id IS NULL), 4) AS avg_wait,
  round(percentile_cont(0.5) WITHIN GROUP (ORDER BY took) FILTER (WHERE status = 'SUCCEEDED' AND cached_from_job_id IS NULL), 4) AS p50_duration,
@@ -234,12 +177,12 @@ def window_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {CUR}, {UP} SELECT up.kind, count(*) AS jobs, count(*) FILTER (WHERE status = 'SUCCEEDED') AS succeeded, count(*) FILTER (WHERE status = 'FAILED') AS failed,
- floor(1000 * avg({TOOK}) FILTER (WHERE status = 'SUCCEEDED' AND cached_from_job_id IS NULL) + 0.000001)::BIGINT AS avg_duration_ms, coalesce(sum(page_count), 0)::BIGINT AS pages
+ round(sum(epoch_us(finished_at) - epoch_us(started_at)) FILTER (WHERE status = 'SUCCEEDED' AND cached_from_job_id IS NULL)
+  / count(epoch_us(finished_at) - epoch_us(started_at)) FILTER (WHERE status = 'SUCCEEDED' AND cached_from_job_id IS NULL) / 1e6, 4) AS avg_duration_s, coalesce(sum(page_count), 0)::BIGINT AS pages
 FROM cur JOIN up ON up.uid = cur.document_id WHERE created_at >= {AT.format(SINCE)} GROUP BY up.kind""")
 def by_kind(spark: SparkSession, sf: str) -> DataFrame:
     jobs = jobs_now(spark, sf, "document_id", "status", "created_at", "started_at", "finished_at", "cached_from_job_id", "page_count")
-    kinds = A.by_kind(jobs, table(spark, sf, "uploads"), stamp(SINCE))  # whole milliseconds: sums in any order round alike
-    return kinds.withColumn("avg_duration_ms", F.floor(1000 * F.col("avg_duration_s") + 0.000001).cast("long")).drop("avg_duration_s")
+    return A.by_kind(jobs, table(spark, sf, "uploads"), stamp(SINCE)).withColumn("avg_duration_s", F.round("avg_duration_s", 4))
 
 
 @query(f"""WITH {CUR}, c AS (SELECT (epoch_us(finished_at) // 3600000000) * 3600 AS t, count(*) FILTER (WHERE status = 'SUCCEEDED') AS succeeded, count(*) FILTER (WHERE status = 'FAILED') AS failed
@@ -269,7 +212,7 @@ def queue_position(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {CUR} SELECT client_reference, id, status FROM cur QUALIFY row_number() OVER (PARTITION BY client_reference ORDER BY created_at DESC, id) = 1""")
 def newest_per_client(spark: SparkSession, sf: str) -> DataFrame:
     jobs = jobs_now(spark, sf, "client_reference", "status", "created_at")
-    return A.newest(jobs, ["client_reference"], [F.desc("created_at"), F.col("id")]).select("client_reference", "id", "status")
+    return A.newest(jobs, ["client_reference"], "created_at", "id").select("client_reference", "id", "status")
 
 
 @query(f"""WITH {CUR}, f AS (SELECT DISTINCT id AS uid, original_filename, kind FROM uploads) SELECT cur.id, original_filename, kind FROM cur JOIN f ON f.uid = cur.document_id
@@ -308,7 +251,8 @@ def content_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return A.stored_once(table(spark, sf, "uploads"))
 
 
-@query(f"""WITH {CUR} SELECT id, status, status IN ('SUCCEEDED', 'FAILED', 'CANCELLED') AS is_terminal, round({TOOK}, 2) AS took_s, CASE WHEN started_at >= created_at THEN round({WAIT}, 2) END AS wait_s, language.code AS language_code,
+@query(f"""WITH {CUR} SELECT id, status, status IN ('SUCCEEDED', 'FAILED', 'CANCELLED') AS is_terminal, round({TOOK}, 2) AS took_s, round({WAIT}, 2) AS wait_s, language.code AS language_code, language.confidence AS language_confidence,
+ '/v1/jobs/' || id AS self_link, '/v1/jobs/' || id || '/result' AS result_link, '/v1/jobs/' || id || '/chunks' AS chunks_link, '/v1/jobs/' || id || '/document' AS document_link,
  CASE status WHEN 'SUCCEEDED' THEN NULL WHEN 'FAILED' THEN 'JOB_FAILED' WHEN 'CANCELLED' THEN 'JOB_CANCELLED' ELSE 'JOB_NOT_FINISHED' END AS result_error, coalesce(len(warnings), 0) > 0 AS has_warnings FROM cur""")
 def job_listing(spark: SparkSession, sf: str) -> DataFrame:
     return A.job_listing(jobs_now(spark, sf, "status", "created_at", "started_at", "finished_at", "language", "warnings"))
@@ -335,11 +279,12 @@ def retry_backoff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {CUR} SELECT id FROM cur WHERE status IN ('QUEUED', 'RETRYING') AND (last_dispatched_at IS NULL OR epoch_us({AT.format(NOW)}) - epoch_us(last_dispatched_at) > 60000000)
- AND (next_retry_at IS NULL OR next_retry_at <= {AT.format(NOW)}) AND id NOT IN (SELECT job_id FROM job_events WHERE event = 'message_missing' AND job_id IS NOT NULL)""")
+ AND (next_retry_at IS NULL OR next_retry_at <= {AT.format(NOW)}) AND id NOT IN (SELECT job_id FROM (SELECT job_id, arg_max(event, id) AS last FROM job_events WHERE job_id IS NOT NULL GROUP BY job_id) WHERE last = 'dispatched')""")
 def redispatch_anti(spark: SparkSession, sf: str) -> DataFrame:
     """Waiting jobs that are due and have no entry on the other side of the anti join."""
     jobs = jobs_now(spark, sf, "status", "created_at", "last_dispatched_at", "next_retry_at")
-    broker = table(spark, sf, "job_events").filter("event = 'message_missing' and job_id is not null")
+    events = table(spark, sf, "job_events").filter("job_id is not null").groupBy("job_id").agg(F.max_by("event", "id").alias("last"))
+    broker = events.filter("last = 'dispatched'")  # jobs whose message was sent and not yet taken
     return lifecycle.to_redispatch(jobs, broker, stamp(NOW)).select("id")
 
 
@@ -349,11 +294,19 @@ def warning_merge(spark: SparkSession, sf: str) -> DataFrame:
     return jobs_now(spark, sf, "warnings").select("id", F.array_join(A.new_warnings(F.col("warnings"), new), " ¦ ").alias("merged"))
 
 
-@query(f"""WITH {CUR}, t AS (SELECT queue, {WAIT} AS wait, {TOOK} AS took FROM cur WHERE status = 'SUCCEEDED' AND cached_from_job_id IS NULL)
-SELECT queue, count(*) AS n, round(quantile_cont(wait, 0.5), 4) AS wait_p50, round(quantile_cont(wait, 0.95), 4) AS wait_p95, round(max(wait), 4) AS wait_max, round(avg(took), 4) AS took_mean FROM t GROUP BY queue""")
+@query(f"""WITH {CUR}, t AS (SELECT queue, {WAIT} AS wait, {TOOK} AS took, epoch_us(created_at) AS a, epoch_us(started_at) AS b FROM cur WHERE status = 'SUCCEEDED' AND cached_from_job_id IS NULL),
+e AS (SELECT queue, a AS t, 1 AS d FROM t WHERE a IS NOT NULL AND (b IS NULL OR b >= a) UNION ALL SELECT queue, b, -1 FROM t WHERE a IS NOT NULL AND b >= a), k AS (SELECT queue, t, sum(d) AS d FROM e GROUP BY ALL),
+r AS (SELECT queue, sum(d) OVER (PARTITION BY queue ORDER BY t) AS depth FROM k), m AS (SELECT queue, max(depth)::BIGINT AS peak_depth FROM r GROUP BY queue)
+SELECT t.queue, count(*) AS n, round(quantile_cont(wait, 0.5), 4) AS wait_p50, round(quantile_cont(wait, 0.95), 4) AS wait_p95, round(max(wait), 4) AS wait_max, round(avg(took), 4) AS took_mean, any_value(m.peak_depth) AS peak_depth FROM t LEFT JOIN m ON m.queue = t.queue GROUP BY t.queue""")
 def queue_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = A.queue_summary(jobs_now(spark, sf, "status", "cached_from_job_id", "queue", "created_at", "started_at", "finished_at"))
-    return out.select("queue", "n", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
+    return out.select("queue", "n", *[F.round(c, 4).alias(c) for c in ("wait_p50", "wait_p95", "wait_max", "took_mean")], "peak_depth")
+
+
+@query(f"""WITH {CUR}, c AS (SELECT count(*) FILTER (WHERE status = 'SUCCEEDED') AS succeeded, count(*) FILTER (WHERE status = 'FAILED') AS failed, count(*) FILTER (WHERE status IN ('QUEUED', 'PROCESSING', 'RETRYING')) AS in_flight FROM cur)
+SELECT succeeded, failed, in_flight, round(succeeded / (succeeded + failed), 6) AS success_rate FROM c""")
+def outcome_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    return A.outcome(jobs_now(spark, sf, "status")).withColumn("success_rate", F.round("success_rate", 6))
 
 
 @query(f"""WITH {CUR} SELECT queue, count(*) AS depth FROM cur WHERE status = 'QUEUED' GROUP BY queue""")
@@ -379,14 +332,45 @@ def weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
 r AS (SELECT method, ms, row_number() OVER (PARTITION BY method ORDER BY ms) AS i, count(*) OVER (PARTITION BY method) AS n FROM p)
 SELECT method, round(quantile_cont(ms, 0.95), 4) AS p95_interpolated, max(ms) FILTER (WHERE i = round_even(0.95 * (n - 1), 0)::BIGINT + 1)::BIGINT AS p95_nearest FROM r GROUP BY method""")
 def page_time_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Both percentile definitions; the nearest rank comes from a window, so no group is collected into one row."""
-    from pyspark.sql import Window
+    """Both percentile definitions, from counts of values: no method's pages are sorted or collected in one task."""
+    once = table(spark, sf, "page_results").groupBy("page_key").agg(F.max(F.coalesce("method", F.lit("unknown"))).alias("method"), F.max("duration_ms").alias("ms"))
+    out = A.exact_quantiles(once, ["method"], "ms", {"p95_interpolated": 0.95, "p95_nearest": 0.95}, nearest=("p95_nearest",))
+    return out.select("method", F.round("p95_interpolated", 4).alias("p95_interpolated"), F.col("p95_nearest").cast("long").alias("p95_nearest"))
+
+
+#: Jobs as records of a benchmark: kind of file as category, pages' times pooled.
+RECORDS = f"""{CUR}, {UP}, p AS (SELECT page_key, max(job_id) AS job_id, max(duration_ms) AS ms FROM page_results GROUP BY page_key), r AS (SELECT cur.id, up.kind AS category, cur.queue, count(*) AS pages, list(p.ms) AS times, avg(p.ms) AS mean_ms
+ FROM cur JOIN up ON up.uid = cur.document_id JOIN p ON p.job_id = cur.id WHERE p.ms IS NOT NULL GROUP BY ALL)"""
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "page_results").groupBy("page_key").agg(F.max("job_id").alias("job_id"), F.max("duration_ms").alias("ms")).filter("ms is not null")
+    per_job = pages.groupBy("job_id").agg(F.count("*").alias("pages"), F.collect_list("ms").alias("times"), F.avg("ms").alias("mean_ms"))
+    kinds = table(spark, sf, "uploads").groupBy(F.col("id").alias("document_id")).agg(F.max("kind").alias("category"))
+    return jobs_now(spark, sf, "document_id", "queue").join(kinds, "document_id").join(per_job, F.col("id") == F.col("job_id")).select("id", "category", "queue", "pages", "times", "mean_ms")
 
-    once = table(spark, sf, "page_results").groupBy("page_key").agg(F.max(F.coalesce("method", F.lit("unknown"))).alias("method"), F.max("duration_ms").alias("ms")).filter("ms is not null")
-    by = Window.partitionBy("method")
-    ranked = once.withColumn("i", F.row_number().over(by.orderBy("ms"))).withColumn("n", F.count("*").over(by))
-    at = F.bround(F.lit(0.95) * (F.col("n") - 1)).cast("long") + 1
-    return ranked.groupBy("method").agg(F.round(F.expr("percentile(ms, 0.95)"), 4).alias("p95_interpolated"), F.max(F.when(F.col("i") == at, F.col("ms"))).cast("long").alias("p95_nearest"))
+
+@query(f"""WITH {RECORDS}, f AS (SELECT category, unnest(times) AS ms FROM r), m AS (SELECT category, avg(ms) AS time_mean, quantile_cont(ms, 0.95) AS time_p95 FROM f GROUP BY category)
+SELECT r.category, count(*) AS samples, sum(pages)::BIGINT AS pages, round(any_value(time_mean), 4) AS time_mean, round(any_value(time_p95), 4) AS time_p95, round(avg(mean_ms), 4) AS mean_ms FROM r JOIN m ON m.category = r.category GROUP BY r.category""")
+def category_page_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Page times pooled by category beside the mean of the jobs' means."""
+    out = A.category_means(records(spark, sf), ["category"], "times", "pages", "mean_ms")
+    return out.select("category", "samples", "pages", *[F.round(c, 4).alias(c) for c in ("time_mean", "time_p95", "mean_ms")])
+
+
+@query(f"""WITH {RECORDS}, s AS (SELECT queue, sum(mean_ms * pages) FILTER (WHERE category <> 'pdf') / sum(pages) FILTER (WHERE category <> 'pdf') AS s_weighted, avg(mean_ms) FILTER (WHERE category = 'pdf') AS real_mean, min(mean_ms) FILTER (WHERE category = 'pdf') AS real_min,
+ sum(mean_ms * pages) FILTER (WHERE category = 'pdf') / sum(pages) FILTER (WHERE category = 'pdf') AS real_s_weighted FROM r GROUP BY queue), c AS (SELECT queue, category, avg(mean_ms) AS m FROM r WHERE category <> 'pdf' GROUP BY ALL), a AS (SELECT queue, avg(m) AS macro, count(*) AS categories FROM c GROUP BY queue)
+SELECT s.queue, round(s_weighted, 4) AS s_weighted, round(real_mean, 4) AS real_mean, round(real_min, 4) AS real_min, round(real_s_weighted, 4) AS real_s_weighted, round(macro, 4) AS macro, categories FROM s LEFT JOIN a ON a.queue IS NOT DISTINCT FROM s.queue""")
+def queue_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Queues as candidates: macro average without one category, that category's mean, minimum and weighted mean."""
+    out = A.candidate_summary(records(spark, sf), ["queue"], "category", "mean_ms", "mean_ms", "pages", "pdf")
+    return out.select("queue", *[F.round(c, 4).alias(c) for c in ("s_weighted", "real_mean", "real_min", "real_s_weighted", "macro")], "categories")
+
+
+@query(f"""WITH {RECORDS}, c AS (SELECT queue, category, avg(mean_ms) AS m FROM r WHERE category NOT LIKE 'h%' GROUP BY ALL) SELECT queue, round(avg(m), 4) AS macro, count(*) AS categories FROM c GROUP BY queue""")
+def macro_without_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean of category means, categories of one prefix left out."""
+    return A.macro_average(records(spark, sf), ["queue"], "category", "mean_ms", without="h").withColumn("macro", F.round("macro", 4))
 
 
 # ------------------------------------------------------------------ scoring
@@ -413,18 +397,6 @@ def filename_cer(spark: SparkSession, sf: str) -> DataFrame:
     return names.select("sha256", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(scoring.cer(F.col("a"), F.col("b")), 4).alias("cer"))
 
 
-@query()
-def chunk_structure_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Structure and text scores of stored chunks against the blocks they were made of."""
-
-    def joined(name: str, order: str) -> DataFrame:
-        once = table(spark, sf, name).groupBy("job_id", order).agg(F.max("text").alias("text"))
-        return once.groupBy("job_id").agg(documents.ordered(F.col(order).alias("o"), F.col("text").alias("t")).alias("p")).select("job_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"))
-
-    pairs = joined("blocks", "block_index").withColumnRenamed("text", "expected").join(joined("chunks", "chunk_index").withColumnRenamed("text", "found"), "job_id")
-    return scoring.structure_scores(pairs.repartition("job_id"), "job_id")
-
-
 # ------------------------------------------------------------------ formats
 
 
@@ -445,12 +417,13 @@ def extension_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("id", "ext", (~F.coalesce(F.array_contains("extensions", F.col("ext")), F.lit(False))).alias("mismatch"))
 
 
-@query(f"""WITH {CUR}, {UP} SELECT cur.id, CASE WHEN up.kind IN ('pdf', 'image') AND options.pipeline = 'layout' THEN 'layout' WHEN up.kind IN ('pdf', 'image', 'eml') THEN 'heavy' WHEN up.kind IN ('text', 'html', 'docx', 'pptx', 'xlsx', 'rtf') THEN 'light' END AS pool
+@query(f"""WITH {CUR}, up AS (SELECT id AS uid, max(kind) AS kind, max(size_bytes) AS bytes FROM uploads GROUP BY id) SELECT cur.id, CASE WHEN up.kind IN ('pdf', 'image') AND options.pipeline = 'layout' THEN 'layout' WHEN up.kind IN ('docx', 'pptx') AND coalesce(options.ocr_mode, 'auto') <> 'off' AND bytes // 20 >= 51200 THEN 'heavy' WHEN up.kind IN ('pdf', 'image', 'eml') THEN 'heavy' WHEN up.kind IN ('text', 'html', 'docx', 'pptx', 'xlsx', 'rtf') THEN 'light' END AS pool
 FROM cur JOIN up ON up.uid = cur.document_id""")
 def route_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The twentieth part of a file stands for the pictures in it, as the tables don't tell their size."""
     jobs = jobs_now(spark, sf, "document_id", F.col("options.pipeline").alias("pipeline"), F.col("options.ocr_mode").alias("mode"))
-    kinds = table(spark, sf, "uploads").groupBy(F.col("id").alias("document_id")).agg(F.max("kind").alias("kind"))
-    return jobs.join(kinds, "document_id").select("id", formats.queue_for(F.col("kind"), F.lit(0), F.col("pipeline"), F.col("mode")).alias("pool"))
+    kinds = table(spark, sf, "uploads").groupBy(F.col("id").alias("document_id")).agg(F.max("kind").alias("kind"), F.max("size_bytes").alias("bytes"))
+    return jobs.join(kinds, "document_id").select("id", formats.queue_for(F.col("kind"), F.floor(F.col("bytes") / 20), F.col("pipeline"), F.col("mode")).alias("pool"))
 
 
 # ------------------------------------------------------------------ streams
@@ -458,17 +431,12 @@ def route_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT epoch_us(date_trunc('hour', created_at)) AS start_us, event, count(*) AS n FROM job_events GROUP BY ALL""")
 def timeline_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly event counts by a stream that reads all there is."""
-    path = f"{sf}/job_events.parquet"
-    schema = spark.read.parquet(path).schema
-    folder = tempfile.mkdtemp(prefix="docmill-stream-")
-    stream = spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{sf}/job_events.parque[t]")
-    counted = streams.event_timeline(stream, late="3650 days")
-    result = streams.run_available(counted, f"timeline_{abs(hash(folder))}", folder)
+    """Hourly event counts by a stream that reads all there is, batch by batch, into a table."""
+    events = streams.table_stream(spark, sf, "job_events")
+    counted = streams.event_timeline(events, late=None)  # a replay of all history: no event is late
+    folder = shared_folder(spark, "timeline")
+    result = streams.run_into_table(counted, folder, ["start", "event"])
     return result.select(F.unix_micros("start").alias("start_us"), "event", "n")
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+from docmill.plans import files, states, structure  # noqa: E402, F401  (they register their queries)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +49,28 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where neither the context nor the configuration
-    names one (tests on one machine) a temporary folder is used.
-    """
-    spark = df.sparkSession
+def checkpoint_base(spark: SparkSession) -> str:
+    """The folder all executors share: the context's, else the session's ``spark.checkpoint.dir``. Only on one machine, as
+    in tests, a temporary folder takes its place; a cluster that names none is an error."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docmill-ck-"))
+    set_already = context._jsc.sc().getCheckpointDir()
+    if set_already.isDefined():
+        return set_already.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        named = tempfile.mkdtemp(prefix="docmill-ck-")
+    context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own in the shared one."""
+    return f"{checkpoint_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the checkpoint folder all executors share."""
+    checkpoint_base(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from docmill.functions import text as T
+from docmill.session import cut_lineage
 
 MOST_BYTES = 50 * 1024 * 1024
 
@@ -40,9 +42,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
 
-def write_by_content(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Content-addressed dataset: a content is stored once, partitioned by the first two digits of its hash."""
-    df.dropDuplicates(["sha256"]).withColumn("prefix", F.substring("sha256", 1, 2)).write.mode(mode).partitionBy("prefix").parquet(path)
+def write_by_content(df: DataFrame, path: str) -> None:
+    """Content-addressed dataset: a content is stored once, in whatever run it comes, partitioned by the first two digits
+    of its hash. Only the hashes of what is stored are read."""
+    new = df.dropDuplicates(["sha256"]).withColumn("prefix", F.substring("sha256", 1, 2))
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        held = spark.read.schema(T_.StructType([f for f in new.schema.fields])).parquet(path).select("sha256", F.col("prefix").cast("string").alias("prefix"))
+        new = cut_lineage(new.join(held, ["prefix", "sha256"], "left_anti"))
+    new.write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -63,6 +72,15 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").csv(path)
 
 
+def markdown_report(df: DataFrame, order: str) -> DataFrame:
+    """(report): a small table as one Markdown table, in the order of a column."""
+    rows = df.orderBy(order).select(*[F.col(c).cast("string") for c in df.columns])
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[T.escape_cell(F.col(c)) for c in df.columns]), F.lit(" |"))
+    head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
+    numbered = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"])
+    return rows.agg(F.concat(F.lit(head), F.array_join(numbered, "\n")).alias("report"))
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append-only audit log."""
     events.write.mode("append").parquet(path)

@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from docmill.operators.lifecycle import STALE
 
@@ -19,17 +19,28 @@ LEADS_TO = {"received": "QUEUED", "dispatched": "QUEUED", "started": "PROCESSING
 FINAL = ("SUCCEEDED", "FAILED", "CANCELLED")
 
 
-def read_table_stream(spark: SparkSession, path: str, schema: StructType, files_a_batch: int = 64) -> DataFrame:
+def read_table_stream(spark: SparkSession, path: str, schema: T.StructType, files_a_batch: int = 64) -> DataFrame:
     """A growing Parquet folder (or a single file's folder) as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def event_timeline(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+def table_stream(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A table of a data folder as a stream, whether it is one file or a folder of files."""
+    path = f"{base}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(base)
+
+
+def event_timeline(events: DataFrame, width: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
     """(start, event, n) of tumbling windows; works on streams (with a watermark of ``late``) and tables alike.
 
-    Events are counted, not deduplicated; a watermark bounds the state to the open windows.
+    Events are counted, not deduplicated; the watermark bounds a live stream's state to the open windows. A replay that
+    ends with the data takes None: its state is one count a window and event.
     """
-    timed = events.withWatermark("created_at", late) if events.isStreaming else events
+    timed = events.withWatermark("created_at", late) if events.isStreaming and late else events
     return timed.groupBy(F.window("created_at", width), "event").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event", "n")
 
 
@@ -64,11 +75,20 @@ def track_jobs(events: DataFrame, most_attempts: int = 3, stale_s: int = STALE)
     return narrow.groupBy("job_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process everything that is there and return the result table; a restart from the checkpoint adds nothing."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_into_table(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Process everything that is there and return the result table, the last row of each key.
+
+    Changed rows of each batch are written as a part named by the batch, so a batch that is repeated after a failure
+    replaces its part; a restart from the checkpoint beside the parts adds nothing. Nothing passes through the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("written_by", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    written = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("written_by", T.IntegerType())])).parquet(f"{folder}/parts")
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "written_by").alias("r")).select(*keys, "r.*")
 
 
 def intake(files: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str):

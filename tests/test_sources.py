@@ -63,8 +63,8 @@ def test_readers():
         return [p["markdown"] for p in pages]
 
     assert "# Plan" in md(docx(), "a.docx")[0] and "- one\n- two" in md(docx(), "a.docx")[0] and "| 1 | 2 |" in md(docx(), "a.docx")[0]
-    assert md(pptx(), "a.pptx") == ["above\n\nbelow", "second"]
-    assert md(xlsx(), "a.xlsx") == ["## Sales\n\n| head |  | 3 |\n|---|---|---|\n| in |  |  |"]
+    assert md(pptx(), "a.pptx") == ["## Slide 1\n\nabove\n\nbelow", "## Slide 2\n\nsecond"]
+    assert md(xlsx(), "a.xlsx") == ["## Sheet: Sales\n\n| head |  | 3 |\n|---|---|---|\n| in |  |  |"]
     mail = md(eml(), "m.eml")
     assert mail[0].startswith("# Invoice") and "| From | ana@ex.org |" in mail[0] and "tool.exe" in mail[0] and "skipped" in mail[0] and "| item | qty |" in mail[1]
     assert md(b"{\\rtf1{\\fonttbl{\\f0 Arial;}}The \\b pipeline\\b0  is ready\\'21\\par Next}", "a.rtf") == ["The pipeline is ready!\nNext"]

@@ -44,3 +44,16 @@ def test_entities(spark):
     assert found["emails"] == ["ana@ex.org"] and found["urls"] == ["https://x.org/a"]
     assert found["dates"] == ["2026-05-04", "12 de sep 2026"] and found["amounts"] == ["$1,250.00"] and found["phone_numbers"] == ["+52 55 1234 5678"]
     assert one(spark, "nothing", entities.all_entities(F.col("t")))[0] == {}
+
+
+def test_entities_keep_to_word_boundaries(spark):
+    def of(text, kind):
+        return one(spark, text, entities.entities(F.col("t"), kind))[0]
+
+    assert of("555-123-4567 555-765-4321 555-111-2222", "phone_numbers") == ["555-123-4567", "555-765-4321", "555-111-2222"]
+    assert of("Phone:+529991234567, x5551234567", "phone_numbers") == ["+529991234567"] and of("555\n123\n4567", "phone_numbers") == ["555\n123\n4567"]
+    assert of("2024-01-0212 and 2024-01-02.", "dates") == ["2024-01-02"] and of("on 12 sep. 2026, 3 de ago de 2025", "dates") == ["12 sep. 2026", "3 de ago de 2025"]
+    assert of("100 Europeans A1234 EUR", "amounts") == [] and of("1,150.00 MXN, €12.50. US$ 30", "amounts") == ["1,150.00 MXN", "€12.50", "US$ 30"]
+    assert of("é.a@x-y.org- and a.b@c.d-.ef", "emails") == ["é.a@x-y.org", "a.b@c.d-.ef"] and of("xhttp://a http://b/(c)", "urls") == ["http://b/"]
+    said = "Pay $1,150.00 MXN to ops@example.com by 2026-10-01, call +52 999 123 4567. https://x.io/a"
+    assert one(spark, said, entities.all_entities(F.col("t")))[0] == {"emails": ["ops@example.com"], "urls": ["https://x.io/a"], "dates": ["2026-10-01"], "amounts": ["$1,150.00"], "phone_numbers": ["+52 999 123 4567"]}
