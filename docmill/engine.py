@@ -8,13 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.functions import entities, text
+from docmill.functions import entities, language, text
 from docmill.operators import analytics, chunking, documents, results, transitions
 from docmill.operators.current import current_jobs
 from docmill.schemas import TABLES, conformed
 from docmill.session import cut_lineage, table
 from docmill.sources import extract, files, formats
 
+MOST_SAMPLES = 5_000  # bound of the passages that languages are told by
 MODES, PIPELINES, ENGINES = ("auto", "force", "off"), ("standard", "layout"), ("rapidocr", "tesseract")
 
 
@@ -130,14 +131,21 @@ class Engine:
             "reliability": analytics.histogram(events, "event", "event"), "active": analytics.active_jobs(jobs), "recent_failures": analytics.recent_failures(jobs), "queues": analytics.queue_depths(jobs),
         }
 
-    def ingest(self, path: str, **options: object) -> dict[str, DataFrame]:
-        """Files of a folder to ``pages``, ``errors``, ``chunks`` and ``documents``; equal contents are read once."""
+    def ingest(self, path: str, samples: DataFrame | None = None, **options: object) -> dict[str, DataFrame]:
+        """Files of a folder to ``pages``, ``errors``, ``chunks`` and ``documents``; equal contents are read once. With
+        ``samples`` (lang, text), a small table of passages of certain language, documents get a language."""
         chosen = check_options(**options)
         stored = files.distinct_contents(files.scan_files(self.spark, path))
-        pages = extract.extract_pages(stored)
+        pages = extract.extract_pages(stored, chosen)
         good = pages.filter("error_code is null").withColumn("job_id", F.col("path"))
         marked = documents.document_markdown(good, "markdown")
         size, overlap = (F.lit(chosen[k]) for k in ("chunk_size_tokens", "chunk_overlap_tokens"))
+        chunks = chunking.chunk_documents(marked, "job_id", "markdown", size, overlap)
         body = documents.document_texts(good)
-        enriched = body.select("job_id", "n_pages", *documents.text_statistics(F.col("text")), entities.all_entities(F.col("text")).alias("entities"))
-        return {"pages": good, "errors": pages.filter("error_code is not null").select("path", "kind", "error_code", "warnings"), "chunks": chunking.chunk_documents(marked, "job_id", "markdown", size, overlap), "documents": enriched.join(marked.select("job_id", documents.outline(F.col("markdown")).alias("outline"), text.estimate_tokens(F.col("markdown")).alias("markdown_tokens")), "job_id")}
+        words = language.small_words([tuple(r) for r in samples.select("lang", "text").filter("lang is not null and text is not null").limit(MOST_SAMPLES).collect()]) if samples is not None else {}
+        found = entities.all_entities(F.col("text")) if chosen["extract_entities"] else F.lit(None).cast("map<string,array<string>>")
+        enriched = body.select("job_id", "n_pages", *documents.text_statistics(F.col("text")), found.alias("entities"), language.language_of(F.col("text"), words).alias("language"))
+        derived = marked.select("job_id", documents.outline(F.col("markdown")).alias("outline"), text.estimate_tokens(F.col("markdown")).alias("markdown_tokens"), F.lit(chunking.TOKENIZER).alias("tokenizer"), F.length("markdown").alias("markdown_chars"), documents.table_count(F.col("markdown")).alias("tables"))
+        counted = chunks.groupBy("job_id").agg(F.count("*").alias("chunk_count"))
+        whole = enriched.join(derived, "job_id").join(counted, "job_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+        return {"pages": good, "errors": pages.filter("error_code is not null").select("path", "kind", "error_code", "warnings"), "chunks": chunks, "documents": whole}

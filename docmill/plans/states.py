@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.operators import lifecycle, results, transitions
+from docmill.operators import graph, lifecycle, results, transitions
 from docmill.operators.analytics import shaped_result
 from docmill.operators.current import current_jobs
 from docmill.plans.registry import AT, CUR, NOW, query, stamp
@@ -156,3 +156,12 @@ def originals_of_jobs(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {CUR} SELECT status, count(*) AS n, count(*) FILTER (WHERE status IN ('QUEUED', 'RETRYING')) AS claimable FROM cur GROUP BY status""")
 def jobs_claimable(spark: SparkSession, sf: str) -> DataFrame:
     return current(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.count_if(lifecycle.claimable(F.col("status"))).alias("claimable"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT in_reply_to AS a, message_id AS b FROM documents WHERE in_reply_to IS NOT NULL AND message_id IS NOT NULL AND in_reply_to <> message_id), r AS (SELECT DISTINCT message_id AS m FROM documents WHERE message_id IS NOT NULL AND in_reply_to IS NULL UNION SELECT e.b FROM r JOIN e ON e.a = r.m)
+SELECT m AS message_id FROM r""")
+def threads_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that replies lead to from those that answer none, over any number of steps."""
+    d = table(spark, sf, "documents").filter("message_id is not null")
+    edges = d.filter("in_reply_to is not null and in_reply_to <> message_id").select(F.col("in_reply_to").alias("source"), F.col("message_id").alias("target"))
+    return graph.reachable(edges, d.filter("in_reply_to is null").select(F.col("message_id").alias("node"))).select(F.col("node").alias("message_id"))

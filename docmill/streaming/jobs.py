@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docmill.operators import transitions
 from docmill.operators.lifecycle import STALE
 
 STATE = "status string, attempts int, last_seen double"
@@ -99,3 +100,18 @@ def intake(files: DataFrame, store: Callable[[DataFrame, int], None], checkpoint
         store(batch.dropDuplicates(["sha256"]), batch_id)
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def intake_jobs(files: DataFrame, options: Column, finished: Callable[[], DataFrame], now: Callable[[], Column], folder: str, checkpoint: str):
+    """New files (id, sha256, original_filename, kind, queue) of a stream as jobs and events, one part a batch.
+
+    Ids follow from the files, and a part is named by its batch, so a batch that is repeated replaces what it wrote.
+    ``finished`` gives the succeeded jobs whose results answer known bytes at once, as they are when the batch runs.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        jobs, _, events = transitions.intake(batch.dropDuplicates(["id"]), options, finished(), now())
+        for name, rows in (("jobs", jobs), ("job_events", events)):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

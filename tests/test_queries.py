@@ -32,13 +32,13 @@ def test_query_equals_sql(spark, small, duck, name):
     pd.testing.assert_frame_equal(mine, sql)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+def test_every_core_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark, small):
-    assert entry(spark, small).count() > 0
+    rows = entry(spark, small)
+    assert rows.count() > 0 and len(set(rows.columns)) == len(rows.columns)
 
 
 def test_core_does_not_need_llm():

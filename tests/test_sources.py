@@ -85,7 +85,10 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"\0\1\2\3")
     out = Engine(spark, str(tmp_path)).ingest(str(tmp_path))
     assert out["pages"].count() == 2 and out["errors"].count() == 1 and out["chunks"].count() == 2
-    assert any(r["entities"].get("emails") == ["ana@ex.org"] for r in out["documents"].collect())
+    samples = spark.createDataFrame([("en", "There is a note and the mail is here. Hello there to you."), ("es", "Hay una nota y el correo está aquí para usted.")], "lang string, text string")
+    rows = Engine(spark, str(tmp_path)).ingest(str(tmp_path), samples)["documents"].collect()
+    assert any((r["entities"] or {}).get("emails") == ["ana@ex.org"] and r["language"]["code"] == "en" and r["chunk_count"] == 1 for r in rows)
+    assert all(r["tokenizer"] == "estimate:chars/4" for r in rows)
 
 
 def test_options():
@@ -106,3 +109,59 @@ def test_engine_reads(spark, small):
     assert stats["status_counts"].count() == 6 and stats["timeline"].count() >= 24
     job = engine.jobs(status="SUCCEEDED", limit=1).first()["id"]
     assert engine.job(job).count() == 1 and engine.events(job).count() > 0 and engine.formats().count() == 9
+
+
+PNG = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (400).to_bytes(4, "big") + (300).to_bytes(4, "big")
+
+
+def test_pictures_in_office_files():
+    picture = f'<w:p><w:r><w:drawing><a:blip xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:embed="r1"/></w:drawing></w:r></w:p>'
+    body = f"<w:document {W}><w:body><w:p><w:r><w:t>Words</w:t></w:r></w:p>{picture}{picture}</w:body></w:document>"
+    rels = '<Relationships><Relationship Id="r1" Target="media/a.png"/></Relationships>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, content in (("word/document.xml", body), ("word/_rels/document.xml.rels", rels), ("word/media/a.png", PNG)):
+            z.writestr(name, content)
+    seen = []
+    extract.register_adapter("image", lambda raw, info: seen.append(1) or [{"number": 1, "text": "INV-1\n\ntotal", "markdown": "", "method": "ocr:x", "ocr_confidence": 90.0}])
+    try:
+        info, pages = extract.extract_file(out.getvalue(), "a.docx")
+        assert "Words\n\n> **[Text in image]**\n>\n> INV-1\n>\n> total" in pages[0]["markdown"] and "INV-1" in pages[0]["text"] and len(seen) == 1
+        assert info["metadata"]["embedded_images_ocr"] == "1" and info["metadata"]["embedded_images_mean_confidence"] == "90.0" and pages[0]["method"] == "parser+ocr"
+        assert "INV-1" not in extract.extract_file(out.getvalue(), "a.docx", {"ocr_mode": "off"})[1][0]["text"]
+    finally:
+        extract.ADAPTERS.pop("image")
+    assert extract.picture_size(PNG) == (400, 300) and extract.picture_size(b"") == (0, 0)
+
+
+def test_pdf_pages_around_plugged_parts():
+    from docmill.sources import recognise
+
+    def span(text, y, size=10.0, bold=False):
+        return {"x0": 0.0, "x1": 300.0, "y0": y, "y1": y + size, "text": text, "size": size, "bold": bold, "block": int(y > 20)}
+
+    long = "Words of a page that has a text layer of its own."
+    native = [{"text": f"Title\n{long}", "spans": [span("Title", 0.0, 18.0), span(long, 40.0)], "coverage": 0.0, "picture": lambda: b"1"}, {"text": " ", "spans": [], "coverage": 1.0, "picture": lambda: b"2"}, {"text": f"{long} {long}", "spans": [span("lost", 0.0)], "coverage": 0.0, "picture": lambda: b"3"}]
+    recognise.plug("parser", lambda raw: native)
+    recognise.plug("recogniser", lambda raw: {"text": "read text", "confidence": 41.0, "engine": "e", "rotated": 90})
+    try:
+        info, pages = extract.extract_file(b"%PDF-1.7", "a.pdf", {"ocr_mode": "auto"})
+        assert [p["method"] for p in pages] == ["text_layer", "ocr:e", "text_layer"] and pages[0]["markdown"].startswith("# Title")
+        assert pages[2]["markdown"] == f"{long} {long}" and len(info["warnings"]) == 3
+        assert [p["method"] for p in extract.extract_file(b"%PDF-1.7", "a.pdf", {"ocr_mode": "off"})[1]] == ["text_layer"] * 3
+        assert {p["method"] for p in extract.extract_file(b"%PDF-1.7", "a.pdf", {"ocr_mode": "force"})[1]} == {"ocr:e"}
+        recognise.plug("layout", lambda raw, a, b, whole: [{"text": f"p{i}", "markdown": f"# p{i}"} for i in range(a, b + 1)])
+        assert [p["method"] for p in extract.extract_file(b"%PDF-1.7", "a.pdf", {"pipeline": "layout"})[1]] == ["layout:plugged", "layout:plugged+ocr", "layout:plugged"]
+        frames = extract.extract_file(PNG, "a.png")[1]
+        assert frames[0]["text"] == "read text" and extract.extract_file(PNG, "a.png", {"ocr_mode": "off"})[1][0]["method"] == "none"
+    finally:
+        recognise.PLUGGED.clear()
+    assert recognise.page_list([1, 2, 3, 5]) == "1-3, 5"
+
+
+def test_mail_facts():
+    info, _ = extract.extract_file(eml(), "m.eml")
+    import json
+
+    held = json.loads(info["metadata"]["attachments"])
+    assert [(a["filename"], a["processed"]) for a in held] == [("prices.csv", True), ("tool.exe", False)] and "message_id" in info["metadata"]
