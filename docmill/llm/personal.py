@@ -47,7 +47,7 @@ NUMBER = re.compile(r"(?<![\w@/+.,-])(?:\(?\+|\()?(?:[A-Z]{1,2}[ \-]?)?\d(?:(?:[
 DECIMAL = re.compile(r"\d{1,7}[.,]\d{1,4}")  # an amount, whatever surrounds it
 CODE = re.compile(r"(?<![\w/-])(?:(?=[A-Z]*\d)(?=(?:[A-Z]*\d){5})[A-Z0-9]{8,16}|[A-Z]{1,2}[ -]?\d{6,9}[ -]?[A-Z]?|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w/-])")
 #: Digits are rare and every number, code and address has some: the patterns above are tried around them alone.
-DIGITS = re.compile(r"\d+(?:[ \n.\-/()\u00a0]{1,2}\d+)*")
+DIGITS = re.compile(r"\d+(?:(?:[ \n.\-/()\u00a0]{1,2}|[ ][-/][ ])\d+)*")
 STREET_EN = "Street|Str?\\.|Road|Rd\\.?|Avenue|Ave\\.?|Lane|Ln\\.?|Drive|Close|Square|Terrace|Boulevard|Blvd\\.?|Way|Court"
 STREET_ROM = r"C/|C\.|Calle|CALLE|Avda\.?|AVDA\.?|Avenida|Plaza|PLAZA|Pza\.?|Paseo|Camino|Ronda|Travesía|Via|VIA|Viale|Piazza|PIAZZA|P\.za|Corso|Vicolo|Largo|Strada|V\.le|Rua|RUA|R\.|Travessa|Tv\.|Praça|Pç\.|Estrada|Alameda|Av\."
 STREET_FR = r"rue|avenue|av\.|boulevard|bd|bld|place|chemin|impasse|allée|quai|route|cours"
@@ -55,6 +55,7 @@ GAP = r"(?:[ ]{1,2}|[ ]?\n[ ]?)"
 ZIP = r"(?:\d{4}-\d{3}|\d{5}|[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2})"
 PLACE = rf"[{U}][{L}{U}]+(?:-(?:(?:le|la|les|de|del|am|an|der|sur|do|da)-)?[{U}][{L}{U}]+)?(?:{GAP}[{U}][{L}]+)?"
 TAIL = rf"(?:,?{GAP}(?:Apt\.?|Unit|Flat|Floor|\d\.?[ºª°]|piso|esc\.|int\.|scala|Apto\.?)[ ]?[\w.º]*)?(?:,?{GAP}{ZIP})?(?:,?{GAP}{PLACE})?(?:,?{GAP}{ZIP})?"
+STREET_SPAN, LONG_WORD = 66, re.compile(r"\S{18}")
 HOUSE_SIGNS = ("n.", "m.", "um", "úm", "no", ".o", " o", "ro")  # what a house number may follow without a space: n. núm. num nº no número
 HOUSE = r"\d{1,4}(?:/?[A-Za-z](?!\w)|[ ][A-Da-d](?!\w))?(?!\w)"
 # Two patterns, one that starts with a digit and one that starts with a capital: what they can start with is rare.
@@ -201,12 +202,12 @@ def candidates(text: str, words: Words) -> list[tuple[int, int, str]]:
         i, j = m.start(), m.end()
         before = text[i - 1] if i else "\n"
         if j - i >= 5 and not DECIMAL.fullmatch(m[0]):
-            for n in widened(NUMBER, text, max(last_end, i - 5), j + 8, last_end):
+            for n in NUMBER.finditer(text, max(last_end, i - 5), min(len(text), j + 8)):  # at most 5 before and 6 after the digits
                 for a, b in unwrapped(text, n.start(), n.end()):
                     out += [(a, b, "phone"), (a, b, "id_number")]
                 last_end = n.end()
         if before.isupper() or text[j : j + 1].isupper() or (j - i >= 5 and text[i - 2 : i - 1].isupper()):
-            out += [(n.start(), n.end(), "id_number") for n in widened(CODE, text, i - 9, j + 12) if n.start() <= i < n.end()]
+            out += [(n.start(), n.end(), "id_number") for n in CODE.finditer(text, max(0, i - 16), min(len(text), j + 17)) if n.start() <= i < n.end()]  # a code has at most 16 signs
         inside = r"[ \n]{1,2}(?=\d)" if before.isalnum() else r"\n[ ]*(?=\d)"  # "Mayor2 12": the first digits belong to a word
         for k in (i, *(i + w.end() for w in re.finditer(inside, m[0]) if "\n" in m[0] or before.isalnum())):
             left = text[k - 1] if k else "\n"
@@ -215,7 +216,7 @@ def candidates(text: str, words: Words) -> list[tuple[int, int, str]]:
                 unit = UNIT.search(text, max(0, text.rfind("\n", 0, k - 1), k - 120), k)
                 out.append((unit.start() if unit else k, n.end(), "address"))
             elif k > 1 and (left in " \nº°" or text[k - 2 : k] in HOUSE_SIGNS):
-                out += [(n.start(), n.end(), "address") for n in widened(NAMED, text, k - 48, k + 70) if n.start() < k < n.end() and not (n.start() and text[n.start() - 1].isalnum())]
+                out += [(n.start(), n.end(), "address") for n in streets(text, k) if n.start() < k < n.end() and not (n.start() and text[n.start() - 1].isalnum())]
     for m in names(text):
         a, b = m.start(), m.end()
         if m["title"] is None:
@@ -238,16 +239,20 @@ def candidates(text: str, words: Words) -> list[tuple[int, int, str]]:
     return out
 
 
-def widened(pattern: re.Pattern, text: str, a: int, b: int, least: int = 0) -> list[re.Match]:
-    """Matches in ``text[a:b]``; the window grows while a match, or a word at its edge, may go on beyond it."""
-    while True:
-        a, b = max(least, a), min(len(text), b)
-        found = list(pattern.finditer(text, a, b))
-        left = a > least and (any(m.start() <= a + 1 for m in found) or not found and text[a - 1].isalnum() and text[a].isalnum() and pattern is not NUMBER)
-        right = b < len(text) and any(m.end() >= b - 1 for m in found)
-        if not left and not right:
-            return found
-        a, b = a - 32 * left, b + 32 * right
+def streets(text: str, k: int) -> list[re.Match]:
+    """Named streets whose house number may stand at ``k``. Kind, articles, name and sign before a number are at most nine
+    words, which fit in ``STREET_SPAN`` characters unless one of them is long; what follows is read to its end."""
+    a = max(0, k - STREET_SPAN)
+    if LONG_WORD.search(text, a, k):
+        a = k
+        for _ in range(9):
+            a = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a), 0)
+    b = k + 70
+    found = list(NAMED.finditer(text, a, min(len(text), b)))
+    while found and b < len(text) and found[-1].end() >= b - 1:
+        b += 64
+        found = list(NAMED.finditer(text, a, min(len(text), b)))
+    return found
 
 
 def names(text: str) -> Iterator[re.Match]:
