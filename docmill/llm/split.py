@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.tokens import current_rows
-from docmill.session import table
+from docmill.session import cut_lineage, table
 
 SIZE, OVERLAP, LEAST_SIZE = 512, 64, 32
+MOST_KEYS = 200_000  # oversized items whose keys are broadcast, some 20 MB
 BUCKETS = 1 << 19  # of hashed job ids, 2 MB in a scan task
 #: Boundary strengths: blank line, heading or fence, line end, sentence end, clause end, space, inside a word.
 BLANK, LINE, SENTENCE, CLAUSE, SPACE, INSIDE = 6, 5, 4, 3, 2, 1
@@ -138,7 +139,7 @@ def limit_floor(limits: DataFrame, buckets: int) -> Column:
     out before anything is shuffled. It is a lower bound: with very many jobs a bucket it prunes less and loses nothing.
     """
     least = limits.groupBy(job_bucket(F.col("job_id"), buckets).alias("at")).agg(F.min("size").alias("least"))
-    every = limits.sparkSession.range(buckets).select(F.col("id").cast("int").alias("at")).join(least, "at", "left")
+    every = limits.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("at")).join(F.broadcast(least), "at", "left")  # at most a row a bucket
     filled = every.select("at", F.least(F.coalesce("least", F.lit(SIZE)), F.lit(SIZE)).alias("least"))
     return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "least"))), lambda x: x["least"])).scalar()
 
@@ -148,9 +149,11 @@ def job_bucket(job_id: Column, buckets: int) -> Column:
 
 
 def sized_items(blocks: DataFrame, chunks: DataFrame, jobs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Blocks and chunks that may be too large, with the limits of their job's current row.
+    """The blocks and chunks that are too large, with the limits of their job's current row.
 
-    Only items above the floor of their job's bucket (see :func:`limit_floor`) carry their text to the join.
+    Keys and lengths of the items above the floor of their job's bucket (see :func:`limit_floor`) are joined with the
+    limits. What exceeds them is brought to the texts in the scan while its keys are few enough to broadcast
+    (``MOST_KEYS``, counted first); beyond that, the texts above the floor are shuffled to the keys.
     """
     limits = current_rows(jobs, F.col("options.chunk_size_tokens").alias("s"), F.col("options.chunk_overlap_tokens").alias("o"))
     size = F.greatest(F.coalesce("s", F.lit(SIZE)), F.lit(LEAST_SIZE))
@@ -159,8 +162,12 @@ def sized_items(blocks: DataFrame, chunks: DataFrame, jobs: DataFrame, buckets:
     kind = F.when(F.size("kinds") == 1, F.element_at("kinds", 1))
     two = chunks.select(F.lit("chunk").alias("src"), F.col("chunk_key").alias("rec_key"), "job_id", kind.alias("kind"), "text")
     able = one.unionByName(two).filter(estimate(F.col("text")) > F.get(limit_floor(limits, buckets), job_bucket(F.col("job_id"), buckets)))
-    joined = able.join(limits, "job_id", "left")
-    return joined.withColumn("size", F.coalesce("size", F.lit(SIZE))).withColumn("overlap", F.coalesce("overlap", F.lit(OVERLAP)))
+    short = able.select("src", "rec_key", "job_id", estimate(F.col("text")).alias("n")).join(limits, "job_id", "left")
+    large = short.withColumn("size", F.coalesce("size", F.lit(SIZE))).withColumn("overlap", F.coalesce("overlap", F.lit(OVERLAP))).filter("n > size")
+    keys = cut_lineage(large.select(F.col("src").alias("s_"), F.col("rec_key").alias("k_"), F.col("job_id").alias("j_"), "size", "overlap").distinct())
+    few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    same = (F.col("src") == F.col("s_")) & F.col("rec_key").eqNullSafe(F.col("k_")) & F.col("job_id").eqNullSafe(F.col("j_"))
+    return able.join(F.broadcast(keys) if few else keys, same).drop("s_", "k_", "j_")
 
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
