@@ -43,6 +43,7 @@ SIGN = re.compile(r"[@(\[{<](?:(?<=@)|(?i:at|a|arroba|chiocciola)[)\]}>])")
 SPOKEN = re.compile(r"(?<=\w)[ \n](?:at|arroba|chiocciola)[ \n](?=[\w-]+(?:\.\w|[ \n](?:dot|punto)[ \n]))", re.I)
 LOCAL = re.compile(r"\w[\w.+\-]*[ \n]?$")
 DOMAIN = re.compile(r"[ \n]?[\w-]+(?:(?:\.|[ ]\.[ ]?|[ \n]?(?:\((?:dot|punto|point|punkt|ponto)\)|\[(?:dot|punto|point|punkt|ponto)\]|\{dot\}|[ \n](?:dot|punto)[ \n])[ \n]?)[\w-]+)+", re.I)
+LAST_LABEL = re.compile(r"[\w-]{2,}$")  # a domain ends with at least two letters: "lives at P.O. Box" has none
 NUMBER = re.compile(r"(?<![\w@/+.,-])(?:\(?\+|\()?(?:[A-Z]{1,2}[ \-]?)?\d(?:(?:[ \n.\-/\u00a0]|[ ]?\(|\)[ .\-/]?|[ ][-/][ ])?\d){4,17}(?:-?[A-Z]{1,2}(?![\w])|[ ][A-Z](?![\w])|[ ]\d[ ]?[A-Z]{2}\d)?(?![\w@])")
 DECIMAL = re.compile(r"\d{1,7}[.,]\d{1,4}")  # an amount, whatever surrounds it
 CODE = re.compile(r"(?<![\w/-])(?:(?=[A-Z]*\d)(?=(?:[A-Z]*\d){5})[A-Z0-9]{8,16}|[A-Z]{1,2}[ -]?\d{6,9}[ -]?[A-Z]?|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w/-])")
@@ -195,7 +196,7 @@ def candidates(text: str, words: Words) -> list[tuple[int, int, str]]:
     out = []
     for m in (*SIGN.finditer(text), *SPOKEN.finditer(text)):
         before, after = LOCAL.search(text, max(0, m.start() - 65), m.start()), DOMAIN.match(text, m.end())
-        if before is not None and after is not None:
+        if before is not None and after is not None and LAST_LABEL.search(text, after.start(), after.end()):
             out.append((before.start(), after.end(), "email"))
     last_end = 0
     for m in DIGITS.finditer(text):
