@@ -365,6 +365,7 @@ def test_candidates_in_rarer_spellings():
     words = personal.Words([], [])
     for text in ("write to owen.stone at desk.example today", "owen.stone (Arroba) desk.example", "owen.stone [ARROBA] desk.example", "owen.stone at desk\ndot\nexample", "owen.stone At desk Dot example", "owen.stone at desk.example; marta at host dot example"):
         assert any(k == "email" and text[a:b].startswith("owen.stone") and text[a:b].endswith("example") for a, b, k in personal.candidates(text, words)), text
+    assert not any(k == "email" for _, _, k in personal.candidates("She lives at P.O. Box 12, Overton.", words))
     for street in ("Calle Mayor, n.12", "Calle Mayor, nº12", "Calle Mayor, n.º12", "Calle Mayor, núm.12", "Calle Mayor, número12", "Calle Mayor  12", "Calle Mayor2 12", "Postfach  12"):
         text = f"He lives at {street} now"
         assert any(k == "address" and text[a:b] == street for a, b, k in personal.candidates(text, words)), street

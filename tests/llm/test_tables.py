@@ -137,9 +137,11 @@ def test_ranking_is_bounded(spark):
     assert {r["lang"]: r["count"] for r in drawn(rows, "lang", "text", 1000).groupBy("lang").count().collect()} == {"en": 1000, "zu": 1000}
 
 
-def test_floor_of_limits_loses_nothing(spark, small):
+@pytest.mark.parametrize("most", [200_000, 3])  # keys brought to the texts; texts brought to the keys
+def test_floor_of_limits_loses_nothing(spark, small, monkeypatch, most):
     from docmill.llm import split
 
+    monkeypatch.setattr(split, "MOST_KEYS", most)
     tables = [spark.read.parquet(f"{small}/{t}.parquet") for t in ("blocks", "chunks", "jobs")]
     every = [sorted((r["src"], r["rec_key"], r["piece_no"]) for r in split.split_items(split.sized_items(*tables, buckets=n)).collect()) for n in (1, 7, split.BUCKETS)]
     assert every[0] == every[1] == every[2] != []
