@@ -14,6 +14,7 @@ from typing import Any
 
 from docmill.functions import markdown as M
 from docmill.operators import layout
+from docmill.sources import exif
 
 #: Limits of the page decisions (fixed values).
 MOST_PAGES, MOST_FRAMES, LEAST_VISIBLE, MOSTLY_IMAGE, LITTLE_TEXT, LEAST_COVERED, LOW_CONFIDENCE, PAGES_AT_ONCE, LOW_SIDE = 500, 200, 25, 0.6, 200, 0.9, 60, 4, 300
@@ -144,6 +145,7 @@ def read_image(raw: bytes, info: dict) -> list[dict]:
         return [{"number": 1, "text": "", "markdown": "", "method": "none", "ocr_confidence": None}]
     if info.get("pipeline") == "layout" and "layout" in PLUGGED:
         return list(by_layout(raw, info))
+    info["metadata"] |= {f"exif_{k.lower()}": v for k, v in exif.facts(raw).items()}
     frames = PLUGGED["frames"](raw) if "frames" in PLUGGED else [raw]
     if len(frames) > MOST_FRAMES:
         raise Unreadable("LIMIT_EXCEEDED", f"{len(frames)} frames, {MOST_FRAMES} at most")

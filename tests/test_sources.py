@@ -165,3 +165,17 @@ def test_mail_facts():
 
     held = json.loads(info["metadata"]["attachments"])
     assert [(a["filename"], a["processed"]) for a in held] == [("prices.csv", True), ("tool.exe", False)] and "message_id" in info["metadata"]
+
+
+def test_tags_of_a_camera():
+    import struct
+
+    from docmill.sources import exif
+
+    for order, mark in (("<", b"II*\0"), (">", b"MM\0*")):
+        tags = [(0x010F, 2, 9, 62), (0x0112, 3, 1, None), (0x9999, 2, 4, 0)]
+        body = b"".join(struct.pack(order + "HHI", t, k, n) + (struct.pack(order + "HH", 6, 0) if at is None else struct.pack(order + "I", at)) for t, k, n, at in tags)
+        tiff = mark + struct.pack(order + "IH", 8, len(tags)) + body + b"\0" * (62 - 8 - 2 - len(body)) + b"Maker Co\0"
+        jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xda"
+        assert exif.facts(jpeg) == exif.facts(tiff) == {"Make": "Maker Co", "Orientation": "6"}
+    assert exif.facts(b"") == exif.facts(b"\xff\xd8\xff") == exif.facts(b"II*\0\xff\xff\xff\xff") == {}
